@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import topk, url_filter
+from . import minhash, token_store, topk, url_filter
 
 QUERIES = {
     "op3_topk_search": topk.query,
+    "op4_order_minhash": minhash.query,
+    "op5_token_store": token_store.query,
     "op7_url_filter": url_filter.query,
 }
 SQL = {
