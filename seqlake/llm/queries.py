@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import minhash, token_store, topk, toxicity, url_filter
+from . import minhash, sanitise, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
     "op3_topk_search": topk.query,
     "op4_order_minhash": minhash.query,
     "op5_token_store": token_store.query,
+    "op6_pii_sanitise": sanitise.query,
     "op7_url_filter": url_filter.query,
 }
 SQL = {
