@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, sanitise, token_store, topk, toxicity, url_filter
+from . import decontaminate, minhash, sanitise, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_store": token_store.query,
     "op6_pii_sanitise": sanitise.query,
     "op7_url_filter": url_filter.query,
+    "op8_decontaminate": decontaminate.query,
 }
 SQL = {
     "op3_topk_search": topk.sql,
