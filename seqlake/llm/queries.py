@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_templates, minhash, sanitise, token_store, topk, toxicity, url_filter
+from . import decontaminate, licences, line_templates, minhash, sanitise, token_store, topk, toxicity, url_filter
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_pii_sanitise": sanitise.query,
     "op7_url_filter": url_filter.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_licences": licences.query,
     "op10_line_templates": line_templates.query,
 }
 SQL = {
