@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licences, line_templates, minhash, sanitise, token_store, topk, toxicity, url_filter
+from . import decontaminate, licences, line_templates, minhash, mixing, sanitise, token_store, topk, toxicity, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_toxicity": toxicity.query,
     "op3_topk_search": topk.query,
     "op4_order_minhash": minhash.query,
