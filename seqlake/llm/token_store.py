@@ -22,6 +22,8 @@ from array import array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import table, written
+
 MAGIC = b"SLR1"
 END_ID = 2
 BLOCK = 1 << 17
@@ -372,24 +374,22 @@ def vocabulary_size(path: str) -> int:
 
 def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block: int = BLOCK, lanes: int = LANES, every: int = EVERY, doc_id: str = "doc_id", text: str = "text"):
     """Write the frames; returns (frames, table) with frames read back from the files and table as (symbols, counts)."""
-    from .common import written
-
     code = "u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "u4"
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
     dealt = own.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     raw = written(dealt.mapInArrow(_raw_blocks(tokenizer, code, end_id, block), RAW), "ids")
     counted = raw.filter("seq = -1").select(F.explode(F.arrays_zip("row", "len")).alias("c")).groupBy(F.col("c.row").alias("id")).agg(F.sum("c.len").alias("n")).collect()  # as many rows as the vocabulary, at most
-    table = (sorted(r["id"] for r in counted), [r["n"] for r in sorted(counted)])
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    shared = (sorted(r["id"] for r in counted), [r["n"] for r in sorted(counted)])
+    sent = docs.sparkSession.sparkContext.broadcast(shared)
     kept = "pid int, seq int, n long, first long, row array<long>, doc_id array<long>, len array<long>, whole array<boolean>, frame binary"
     frames = written(raw.filter("seq >= 0").mapInArrow(_encoder(sent, code, lanes, every), kept), "frames", codec="uncompressed")
-    return frames, table
+    return frames, shared
 
 
-def read_tokens(frames: DataFrame, table) -> DataFrame:
+def read_tokens(frames: DataFrame, shared) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each written document, decoded from the frames."""
-    sent = frames.sparkSession.sparkContext.broadcast(table)
-    parts = frames.mapInArrow(_decoder(sent), SEGMENT)
+    sent = frames.sparkSession.sparkContext.broadcast(shared)
+    parts = written(frames.mapInArrow(_decoder(sent), SEGMENT), "parts")  # read twice below, decoded once
     cut = parts.filter("not whole").groupBy("pid", "row").applyInPandas(_joined, SEGMENT)
     docs = parts.filter("whole").unionByName(cut)
     sums = frames.groupBy("pid").agg(F.sum("n").alias("total"))  # a row for each partition that wrote
@@ -398,8 +398,6 @@ def read_tokens(frames: DataFrame, table) -> DataFrame:
 
 
 def query(spark, sf_dir: str, docs: DataFrame | None = None, tokenizer: str | None = None) -> DataFrame:
-    from .common import table
-
     if tokenizer is None:
         import public_tokenizers
 
