@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,13 +16,13 @@ def phred_probability(q: Column) -> Column:
 
 
 def quality_udf(offset: int = ASCII, wrap: int = 0):
-    """A pandas UDF: mean quality of a string of quality characters (NaN if empty, null if null).
+    """An Arrow UDF: mean quality of a string of quality characters (NaN if empty, null if null).
 
     wrap: qualities are (code point - offset) modulo wrap, so any text can serve as a quality string.
     """
 
-    @F.pandas_udf("float")
-    def mean_quality(quals: pd.Series) -> pd.Series:
+    @F.arrow_udf("float")
+    def mean_quality(quals: pa.Array) -> pa.Array:
         import numpy as np
 
         table = 10.0 ** (-np.arange(0x200) / 10.0)
@@ -34,9 +34,9 @@ def quality_udf(offset: int = ASCII, wrap: int = 0):
                 return math.nan
             q = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype("i8") - offset
             q = q % wrap if wrap else np.clip(q, 0, len(table) - 1)
-            return np.float32(-10.0 * math.log10(float(np.add.accumulate(table[q])[-1]) / len(q)))
+            return -10.0 * math.log10(float(np.add.accumulate(table[q])[-1]) / len(q))
 
-        return pd.Series([one(s) for s in quals], dtype="float32" if quals.notna().all() else object)
+        return pa.array([one(s) for s in quals.to_pylist()], pa.float64()).cast(pa.float32())
 
     return mean_quality
 

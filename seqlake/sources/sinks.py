@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +51,6 @@ def write_table(df: DataFrame, path: str, *, sample: str | None = None, after: s
 
 
 def printed(value: Column, places: int) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text(v: pd.Series) -> pd.Series:
         return v.map(lambda x: c_format(x, places))
