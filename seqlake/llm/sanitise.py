@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,9 +144,7 @@ def sanitised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **
     out = own.join(written(found.filter("size(_spans) > 0"), "spans"), "_row", "left").drop("_row")
 
     @F.pandas_udf("string")
-    def redact(texts, spans):
-        import pandas as pd
-
+    def redact(texts: pd.Series, spans: pd.Series) -> pd.Series:
         def one(t, found):
             parts, at = [], 0
             for x in found if t is not None and found is not None else ():

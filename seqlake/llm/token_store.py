@@ -160,9 +160,9 @@ def encode_block(ids, table: Table, wide=None, lanes: int = LANES, every: int =
     lanes = max(1, min(lanes, len(ids)))
     steps = -(-len(ids) // lanes)
     grid = np.concatenate([ids, np.full(steps * lanes - len(ids), int(table.symbols[0]), "i8")]).reshape(steps, lanes)
-    f, c = freq[grid], start[grid]
-    if len(ids) and not f.all():
+    if len(ids) and not (0 <= ids.min() and ids.max() < len(freq) and freq[ids].all()):
         raise ValueError("an id is not in the table")
+    f, c = freq[grid], start[grid]
     x = np.full(lanes, LOW, "u8")
     bits, shift = np.uint64(table.bits), np.uint64(63 - table.bits)
     out, marks = [None] * steps, []

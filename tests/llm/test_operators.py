@@ -1,0 +1,279 @@
+"""The operators on small tables, against brute force; nulls, empty and repeated rows, clashing columns."""
+
+import itertools
+import random
+import re
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from seqlake.llm import decontaminate, licences, line_templates, minhash, mixing, queries, sanitise, token_store, topk, toxicity, url_filter
+
+ODD = [(None, "null id"), (7, None), (8, ""), (9, " \n "), (10, "twice here"), (10, "twice here"), (11, "x" * 30_000), (12, "word " * 3000)]
+SCHEMA = "doc_id long, text string, key string, label string, n int, h long, line string, items string, score string, rate string"
+EXTRA = ("k", "l", 3, 4, "ln", "it", "s", "r")
+
+
+def frame(spark, rows):
+    """Documents with columns whose names operators might use."""
+    return spark.createDataFrame([(*r, *EXTRA) for r in rows], SCHEMA)
+
+
+VOCAB = [f"w{a}{b}" for a in "abcdefgh" for b in "abcdefgh"]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", ["op3_topk_search", "op7_url_filter"])
+def test_same_as_sql(spark, small, name):
+    con = duckdb.connect()
+    for t in ("embeddings", "pages"):
+        con.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, small), con.sql(queries.oracle_sql()[name])
+    cols = sorted(got.columns)
+    assert cols == sorted(want.columns)
+    assert sorted(map(str, (tuple(r) for r in got.select(cols).collect()))) == sorted(map(str, want.select(*cols).fetchall()))
+
+
+def test_urls(spark):
+    rows = [None, "", "no scheme casino", "HTTP://A.Example.NET/en/x?q", "https://x.net", "https://b.example.com/de/1", "https://y.org/fr/z#t", "http://cheap-pills.io/", "http://cheap.io/cheap", "http://freedom.io/xfree", "http://spam-farm.io/", "http://spammer.io/"]
+    got = [tuple(r) for r in url_filter.verdicts(spark.createDataFrame([(u, i) for i, u in enumerate(rows)], "url string, i int")).orderBy("i").select("host", "path", "rule", "verdict").collect()]
+    assert got[0] == got[1] == ("", "", None, "allow") and got[2] == ("", "", None, "block")
+    assert got[3] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[4] == ("x.net", "", None, "allow")
+    assert [g[3] for g in got[5:]] == ["block", "allow", "block", "allow", "allow", "block", "allow"]
+
+
+def test_top_k_ties_nulls_and_shapes(spark):
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(150)] + [(200 + i, [0.5] * 6) for i in range(60)]
+    bad = [(401, None), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [1e30] * 6)]
+    df = spark.createDataFrame([*rows, rows[40], (420, [0.25])] + bad, "vec_id long, embedding array<double>")
+    v = topk.integer_vectors(df, "vec_id", "embedding", 64)
+    got = {}
+    for x in topk.top_k(v, v.filter("id % 20 = 0"), k=20, pack=32, chunk=4, block=8).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    vecs = [(i, [int(e * 64 // 1) for e in x]) for i, x in [*rows, rows[40], (420, [0.25])]]
+    for q, x in {i: x for i, x in vecs if i % 20 == 0}.items():
+        s = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in vecs if i != q)[:20]
+        assert sorted(got[q]) == [(k, i, -m) for k, (m, i) in enumerate(s, 1)]
+    assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_tokens_whole_texts(spark):
+    import numpy as np
+    import public_tokenizers
+    import zlib
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [*ODD, *((20 + i, prose(50 * i, i)) for i in range(8))]
+    lib, want, start = Tokenizer.from_file(path), [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = token_store.read_tokens(*token_store.write_tokens(frame(spark, rows), path, block=300, lanes=8, every=5)).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
+    assert [tuple(r) for r in got] == want
+    assert token_store.read_tokens(*token_store.write_tokens(frame(spark, []), path)).count() == 0
+
+
+def similar(a, b):
+    """Edit similarity of words, or share of five-word shingles, at 0.8 or more."""
+    x, y = a.lower().split(), b.lower().split()
+    s, t = (set(zip(*(w[i:] for i in range(5)))) for w in (x, y))
+    if len(s & t) >= 0.8 * len(s | t) > 0:
+        return True
+    p = list(range(len(y) + 1))
+    for i, u in enumerate(x, 1):
+        c = [i]
+        for j, v in enumerate(y, 1):
+            c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (u != v)))
+        p = c
+    return p[-1] <= 0.2 * max(len(x), len(y))
+
+
+def test_near_copies(spark):
+    r = random.Random(11)
+    rows = list(ODD)
+    for g in range(8):
+        base = prose(80, g).split()
+        for k in range(g % 4 + 1):
+            own = list(base)
+            for _ in range(k):
+                own[r.randrange(len(own))] = f"new{r.random()}"
+            rows.append((100 + 10 * g + k, " ".join(own)))
+    rows.append((300, rows[-1][1].upper()))
+    got = minhash.with_classes(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    of = {x.doc_id: x.class_id for x in got}
+    ids = [(i, t) for i, t in rows if i is not None and t and t.split()]
+    link = {i: {i} for i, _ in ids}
+    for (i, a), (j, b) in itertools.combinations(ids, 2):
+        if len(a) < 5000 and len(b) < 5000 and similar(a, b):
+            for x in (m := link[i] | link[j]):
+                link[x] = m
+    assert {i: of[i] for i, _ in ids} == {i: min(m) for i, m in link.items()}
+    assert (of[7], of[8], of[9]) == (7, 8, 9)
+    assert {x.class_size for x in got if x.doc_id == 10} == {2}
+    kept = minhash.one_of_each(frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    left = sorted(str(x.doc_id) for x in kept.collect())
+    assert left == sorted(str(i) for i in {*(min(m) for m in link.values()), None, 7, 8, 9})
+    assert minhash.with_classes(frame(spark, [])).count() == 0
+
+
+def test_benchmark_passages(spark):
+    items = [(1, prose(30, 901)), (2, prose(20, 902)), (3, "just four words here"), (4, None), (5, "")]
+    words = items[0][1].split()
+    changed = list(words)
+    changed[5], changed[20] = "other", "thing"
+    rows = [*ODD, (50, prose(40, 1) + " " + " ".join(words).upper() + "!"), (51, " ".join(changed)), (52, prose(60, 2)), (53, "so JUST four, words here."), (54, " ".join(words[:12]) + " " + prose(20, 3)), (55, " ".join(words[8:24])), (56, items[1][1] + "\n" + items[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x["items"] for x in decontaminate.contamination(frame(spark, rows), bench).collect()}
+    assert {i: v for i, v in got.items() if v} == {50: [1], 51: [1], 53: [3], 55: [1], 56: [1, 2]}
+    joined = {x.doc_id: x["items"] for x in decontaminate.contamination(frame(spark, rows), bench, most_broadcast=0).collect()}
+    assert joined == got
+    kept = decontaminate.decontaminated(frame(spark, rows), bench)
+    assert kept.columns == frame(spark, []).columns and kept.count() == len(rows) - 5
+    assert decontaminate.decontaminated(frame(spark, rows), bench.limit(0)).count() == len(rows)
+
+
+def test_benchmark_windows_like_brute_force(spark):
+    r = random.Random(7)
+    items = [(k, prose(25, 500 + k)) for k in range(6)]
+    rows = []
+    for i in range(60):
+        w = items[i % 6][1].split()[r.randrange(8) :][: r.choice((12, 14, 17))]
+        for _ in range(r.choice((0, 0, 1, 2, 5))):
+            w[r.randrange(len(w))] = "other"
+        rows.append((i, " ".join([prose(10, i), *w, prose(10, 99 + i)])))
+    got = {x.doc_id: set(x["items"]) for x in decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sure = {}
+    for i, t in rows:
+        d = t.split()
+        for k, x in items:
+            w = x.split()
+            for a in range(len(d) - 12):
+                for b in range(len(w) - 12):
+                    miss = sum(u != v for u, v in zip(d[a : a + 13], w[b : b + 13]))
+                    if miss <= 2:
+                        sure.setdefault(i, {}).setdefault(k, 9)
+                        sure[i][k] = min(sure[i][k], miss)
+    for i, _ in rows:
+        assert got[i] <= set(sure.get(i, {}))  # nothing but what the windows hold
+        assert {k for k, m in sure.get(i, {}).items() if m == 0} <= got[i]  # and every exact one
+
+
+def test_toxicity(spark):
+    r = random.Random(2)
+    bad, rows, labels = ("vilest", "grubbo", "mudhead"), list(ODD), []
+    for i in range(400):
+        toxic = i % 4 == 0
+        w = prose(40, i).split()
+        if toxic:
+            w[r.randrange(40)] = r.choice(bad)
+        rows.append((1000 + i, " ".join(w)))
+        labels.append((1000 + i, int(toxic)))
+    rows += [(5000, prose(30, 1) + " v i l e s t"), (5001, "gru880 " + prose(30, 2)), (5002, prose(30, 3))]
+    labels += [(None, 1), (1002, None), (99, 1)]
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.scored(frame(spark, rows), lab, keep=toxicity.remainder(F.col("doc_id")) != 2, carry=["doc_id"])
+    got = {x.doc_id: x.score for x in out.collect()}
+    assert all((got[i] >= 0.3) == bool(t) for i, t in labels if i and i >= 1000 and t is not None)
+    assert got[5000] >= 0.3 and got[5001] >= 0.3 and got[5002] < 0.3
+    assert all(0 <= s < 0.3 for i, s in got.items() if i is None or i < 100)
+    assert toxicity.reject_toxic(frame(spark, rows), lab).columns == frame(spark, []).columns
+    none = toxicity.scored(frame(spark, ODD), lab.limit(0), keep=F.lit(True)).collect()
+    assert len(none) == len(ODD)
+
+
+def test_personal_data(spark):
+    mail = "ann.lee@mail.example.com"
+    rows = [*ODD, *((20 + i, f"the chess master writes from {mail} today {prose(5, i)}") for i in range(4)), *((40 + i, prose(20, i) + " today the") for i in range(12)), (60, "once bob@x.example.org only")]
+    got = {x.doc_id: x for x in sanitise.spans(frame(spark, rows)).collect()}
+    text = dict(rows)
+    found = {text[20][t.s : t.e] for t in got[20].terms}
+    assert {"chess", "master", "writes"} <= found and "today" not in found and "the" not in found
+    assert [(b.k, text[20][b.s : b.e]) for b in got[20].base] == [(0, mail)]
+    assert got[60].base and not got[60].terms and not got[7].base and not got[None].base
+    clean = {x.doc_id: x.text for x in sanitise.sanitised(frame(spark, rows)).collect()}
+    assert mail not in clean[20] and "[EMAIL]" in clean[20] and "chess" not in clean[20] and clean[60] == "once [EMAIL] only" and clean[7] is None
+
+
+def test_licences(spark):
+    rows = [*ODD, (20, "intro\nReleased under the MIT License.\nmore"), (21, "Licensed under the Apache License, Version 2.0."), (22, "a permission slip for the school trip on monday"), (23, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
+    rows += [(100 + i, f"the driver had no licence {prose(6, i)} all rights") for i in range(40)]
+    df = frame(spark, rows)
+    found = {}
+    for x in licences.licence_paragraphs(df, steps=12).collect():
+        found.setdefault(x.key, set()).add(x.family)
+    keys = {x.doc_id: x.k for x in df.select("doc_id", licences.row_key(F.col("doc_id"), F.col("text")).alias("k")).collect()}
+    assert found[keys[20]] == {"mit"} and found[keys[21]] == {"apache"} and found[keys[22]] == {"unknown"} and found[keys[23]] == {"gpl", "cc-by-nc"}
+    assert keys[8] not in found and found[keys[100]] == {"unknown"}
+    low = lambda t: any(a in t.lower() for a in licences.ANCHORS)
+    assert all(low(t) for ts in licences.TEMPLATES.values() for t in ts)
+
+
+def brute_templates(rows, min_docs):
+    leaves = {}
+    for r in set(rows):
+        for s in (r[1] or "").split("\n"):
+            m = line_templates.masked(s)
+            if m:
+                leaves.setdefault((len(m), *m[:3]), {}).setdefault(" ".join(m), set()).add(r)
+    drop = set()
+    for kinds in leaves.values():
+        from xxhash import xxh3_64_intdigest as h
+
+        lines = sorted(kinds, key=lambda m: h(m) - (1 << 64) * (h(m) >> 63))
+        groups = {}
+        for m, t in zip(lines, line_templates.templates_of(lines, 0.7)):
+            groups.setdefault(t, []).append(m)
+        for ms in groups.values():
+            if len(set().union(*(kinds[m] for m in ms))) >= min_docs:
+                drop.update(ms)
+    return drop
+
+
+def test_line_templates(spark):
+    rows = [*ODD, *((20 + i, f"{prose(8, i)}\nseen on day {i} by the guard of gate\n\n{prose(6, 50 + i)}") for i in range(5)), *((40 + i, f"same start of line then one word {VOCAB[i]}") for i in range(4)), (60, "a b\nseen on day 9 by the guard of gate")]
+    drop = brute_templates(rows, 4)
+    out = line_templates.without_templates(frame(spark, rows)).collect()
+    assert len(out) == len(rows)
+    by = {x.doc_id: x for x in out}
+    for i, t in rows:
+        if t is None:
+            assert by[i].text is None and by[i].n_lines == 0
+            continue
+        gone = [" ".join(line_templates.masked(s)) in drop for s in t.split("\n")]
+        assert by[i].text == "\n".join(s for s, g in zip(t.split("\n"), gone) if not g) and by[i].n_dropped == sum(gone)
+    assert by[20].n_dropped == 1 and by[40].n_dropped == 1 and by[60].text == "a b"
+    assert line_templates.without_templates(frame(spark, [])).count() == 0
+
+
+def test_mixing_meets_targets(spark):
+    rows, labels = list(ODD), []
+    for i in range(300):
+        noisy = i % 3 == 0
+        rows.append((1000 + i, prose(40 + i % 7, i) if not noisy else prose(40, i).replace(" ", "### ")))
+        labels.append((1000 + i, 0 if noisy else 1))
+    lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, quality int")
+    out, domains = mixing.mixed(frame(spark, rows).drop("rate"), lab, weights={"0": 0.2, "1": 0.8})
+    got = out.collect()
+    assert domains == ["0", "1"] and len(got) == len(rows)
+    n = sum(x.n_tokens for x in got)
+    assert n == sum(len(re.findall(r"[^ \n\t\r]+", t or "")) for _, t in rows)
+    for k, share in enumerate((0.2, 0.8)):
+        assert abs(sum(x.rate * x.n_tokens * x.posteriors[k] for x in got) - share * n) <= 0.01 * n
+    assert all(x.rate >= 0 and x.copies in (int(x.rate), int(x.rate) + 1) for x in got)
+    same = [(x.rate, x.copies) for x in got if x.doc_id == 10]
+    assert same[0] == same[1]
+    again = mixing.repeated(frame(spark, rows).drop("rate"), lab, weights={"0": 0.4, "1": 0.6}, low=1.0, budget=1.2)
+    assert {x.doc_id for x in again.select("doc_id").collect()} == {i for i, _ in rows}
+    one, names = mixing.mixed(frame(spark, rows).drop("rate"), lab.limit(0))
+    assert names == ["all"] and {round(x.rate, 6) for x in one.collect()} == {1.0}
+    assert mixing.mixed(frame(spark, []).drop("rate"), lab)[0].count() == 0
