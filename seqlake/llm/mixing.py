@@ -48,8 +48,8 @@ def tokens(text: Column) -> Column:
 def fitted(docs: DataFrame, labels: DataFrame, *, domain: str, doc_id: str, text: str) -> list[tuple[str, float, list[tuple[float, float]]]]:
     """(domain, prior, [(mean, variance) of each feature]); as many rows as domains reach the driver."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col(domain).isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col(domain).cast("string")).alias("_domain"))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(marks, "_id").withColumns(features(F.col("_text")))
     names = list(features(F.lit("")))
+    rows = docs.select(F.col(doc_id).alias("_id"), *(x.alias(n) for n, x in features(F.col(text)).items())).join(marks, "_id")
     sums = rows.groupBy("_domain").agg(F.count("*").alias("n"), *(f(x).alias(f"{x}{k}") for x in names for k, f in (("_m", F.avg), ("_v", F.var_pop)))).collect()
     total = sum(r["n"] for r in sums)
     return [(r["_domain"], r["n"] / total, [(r[f"{x}_m"], max(r[f"{x}_v"], 1e-4)) for x in names]) for r in sorted(sums, key=lambda r: r["_domain"])] or [("all", 1.0, [])]
