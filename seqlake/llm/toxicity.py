@@ -10,7 +10,7 @@ goes along with copies of a toxic text is not learnt.
 
 The score is 1 - prod(1 - precision) over the features found, or the rate of toxic texts without any.
 Null and empty texts have no feature. Rows that repeat score alike. Labels of null ids or null marks,
-or for unknown rows, are ignored; of an id labelled twice, toxic wins. Without usable labels all scores are 0.
+or for unknown rows, are ignored; of an id or a text labelled twice, toxic wins. Without usable labels all scores are 0.
 Only the text enters a score.
 """
 
@@ -230,15 +230,9 @@ def _scorer(model, learnt):
     return run
 
 
-def learn(labelled: DataFrame, model, *, most_rows: int = TRAIN_ROWS, min_texts: int = MIN_TEXTS, min_precision: float = MIN_PRECISION):
-    """({feature: precision}, rate without any) from rows (key, text, y); key is a hash of the text."""
-    n = labelled.count()
-    if not n:
-        return {}, 0.0
-    if n > most_rows:  # a sample by a hash of the text; copies of a text are in or out together
-        labelled = labelled.filter(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
-    rows, kinds = labelled.dropDuplicates(["key"]).select("key", "text", "y"), "key string, y int, f array<string>"
-    rows = written(rows, "sample")
+def learn(labelled: DataFrame, model, *, min_texts: int = MIN_TEXTS, min_precision: float = MIN_PRECISION):
+    """({feature: precision}, rate without any) from a bounded sample of texts (key, text, y); key is a hash of the text."""
+    rows, kinds = labelled, "key string, y int, f array<string>"
     size = rows.groupBy("y").count().collect()
     n_pos, n_all = sum(r["count"] for r in size if r["y"]), sum(r["count"] for r in size)
     if not n_pos:
@@ -274,12 +268,17 @@ def learn(labelled: DataFrame, model, *, most_rows: int = TRAIN_ROWS, min_texts:
     return chosen, min(0.29, (uncovered + 0.5) / max(1, n_all - len(explained) + 1))
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", id_col: str = "doc_id", carry: list[str] | None = None, most_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs (or their columns `carry`) with a score (0 to 1). keep: over labels, the rows that may be learnt from."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(character_model(docs, text))
     marks = labels.filter(keep & F.col(id_col).isNotNull() & F.col(mark).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(mark).cast("int")).alias("y"))
-    rows = written(docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).join(marks, "_id").select(text_key(F.col("text")).alias("key"), "text", "y"), "labelled")
+    marks = written(marks, "marks")
+    if (n := marks.count()) > most_rows:  # by a hash of the id, so about most_rows ids: small enough to broadcast
+        marks = marks.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    own = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(text).alias("text"))
+    rows = own.join(F.broadcast(marks), "_id").groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
+    rows = written(rows, "labelled")
     learnt = learn(rows, model)
     out = docs.select(*(carry or docs.columns), F.col(text).alias("_text"))
     return out.mapInArrow(_scorer(model, learnt), out.drop("_text").withColumn("score", F.lit(0.0)).schema)
