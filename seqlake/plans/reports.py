@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.alignment import direction
+from ..functions.alignment import direction, op_total
 from ..functions.comments import with_read_meta
+from ..functions.numeric import percent32
 from ..functions.phred import mean_quality, mean_quality_of
 from ..operators import alignments, coverage, filtering, histogram, summary
 from ..operators.filtering import KEPT
@@ -55,16 +56,26 @@ class Alignments:
     depth: DataFrame
 
 
-def alignments_report(records: DataFrame, refs: DataFrame, *, unmapped: bool = False, recalculate_quality: bool = False, strict: bool = False, read_group: str | None = None, haplotype: int | None = None, poly_a_reverse: bool = False) -> Alignments:
-    """records: from read_sam or read_bam. refs: tid, name, length."""
+def alignments_report(records: DataFrame, refs: DataFrame, *, unmapped: bool = False, recalculate_quality: bool = False, strict: bool = False, read_group: str | None = None, haplotype: int | None = None, poly_a_reverse: bool = False, tag: tuple[str, int] | None = None, regions: DataFrame | None = None) -> Alignments:
+    """records: from read_sam or read_bam. refs: tid, name, length.
+
+    regions (chr, start, end): only records that overlap one; a record counts once for each region that it overlaps.
+    """
+    from ..operators.regions import overlap_join
     from ..sources.sam import scalar_tags
 
     df = scalar_tags(records)
+    if regions is not None:
+        own = regions.select(F.col("chr").alias("ref"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+        placed = df.withColumns({"start": F.col("pos"), "end": F.col("pos") + F.greatest(op_total(F.col("cigar"), "MDN=X"), F.lit(1))})
+        df = overlap_join(placed.filter(F.col("ref") != "*"), own, key="ref").drop("start", "end", "r_start", "r_end")
     depth_rows = filtering.covering(df)
     if read_group is not None:
         df = filtering.by_read_group(df, read_group)
-    if haplotype is not None:
-        df = df.filter(F.coalesce(F.col("tags")["HP"], F.col("tags")["hp"])["value"].try_cast("long") == haplotype)
+    tag = ("HP", haplotype) if haplotype is not None else tag
+    if tag is not None:
+        found = F.coalesce(F.col("tags")[tag[0].upper()], F.col("tags")[tag[0].lower()])
+        df = df.filter(found["type"].isin(*"cCsSiI") & (found["value"].try_cast("long") == tag[1]))
     own = mean_quality_of(F.col("qual"))
     # the quality tag is not used for unmapped reads
     quality = own if recalculate_quality else F.coalesce(F.when(F.col("flag").bitwiseAND(F.lit(4)) == 0, F.col("qs")), own)
@@ -73,9 +84,6 @@ def alignments_report(records: DataFrame, refs: DataFrame, *, unmapped: bool = F
     rows = good.unionByName(alignments.unmapped_rows(df)) if unmapped else good
     metrics = {"length": ("read_length", 0), "quality": ("mean_quality", histogram.WIDTHS["quality"]), "accuracy": ("acc", histogram.WIDTHS["accuracy"]), "coverage": ("coverage", histogram.WIDTHS["coverage"])}
     tails = df.join(refs.select(F.col("name").alias("ref"), F.col("length").alias("_l")), "ref").filter(F.col("flag").bitwiseAND(F.lit(3844)) == 0)
-    from ..functions.alignment import op_total
-    from ..functions.numeric import percent32
-
     tails = tails.withColumn("ref_cover", percent32(op_total(F.col("cigar"), "MDN=X"), F.col("_l")))
     ends = depth_rows.select(F.col("ref").alias("chrom"), direction(F.col("flag")).alias("strand"), F.col("pos").alias("start"), (F.col("pos") + op_total(F.col("cigar"), "MDN=X")).alias("end"))
     return Alignments(

@@ -33,7 +33,7 @@ def read_sam(spark: SparkSession, *paths: str) -> DataFrame:
     tag = F.transform(F.slice("p", 12, 10_000), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.struct(F.substring(x, 4, 1).alias("type"), F.substring(x, F.lit(6), F.length(x)).alias("value")).alias("v")))
     names = F.array_distinct(F.transform("t", lambda x: x["k"]))
     last = F.transform(names, lambda k: F.element_at(F.filter("t", lambda x: x["k"] == k), -1)["v"])
-    n = lambda i, kind: F.get("p", F.lit(i)).cast(kind)
+    n = lambda i, kind: F.get("p", F.lit(i)).try_cast(kind)  # noqa: E731  filters may move ahead of the one on header lines
     ref = F.get("p", F.lit(2))
     qual = F.get("p", F.lit(10))
     return rows.withColumn("t", tag).select(

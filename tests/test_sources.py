@@ -116,3 +116,26 @@ def test_stream_equals_batch(spark, small, tmp_path):
     got = summaries.run_available(summaries.stream_counts(stream, "event_type"), "counted", str(tmp_path / "c"))
     want = spark.read.parquet(f"{small}/events.parquet").groupBy("event_type").count()
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_programs(spark, tmp_path):
+    from seqlake.__main__ import main
+
+    (tmp_path / "a.fastq").write_text(GOOD)
+    out = tmp_path / "out"
+    main(["reads", str(tmp_path / "a.fastq"), "--file", f"{out}/file", "--read", f"{out}/read", "--sample", "s", "--histograms", f"{out}/hist", "--bam", f"{out}/bam", "--demultiplex", f"{out}/plex", "--output", f"{out}/fastq"])
+    text = "".join(p.read_text() for p in (out / "file").glob("part-*"))
+    assert text.startswith("filename\tsample_name\tn_seqs") and "\ts\t2\t8\t4\t4\t" in text
+    bam = str(next((out / "bam").glob("*.bam")))
+    main(["index", "build", bam, f"{out}/i", "--chunk_size", "1"])
+    main(["index", "fetch", bam, f"{out}/i", f"{out}/one", "--chunk", "1"])
+    assert sum(sam.read_bam(spark, str(p)).count() for p in (out / "one").glob("*.bam")) == 1
+    (tmp_path / "t.sam").write_text(SAM.replace("LN:156040895", "LN:50000") + "\n")
+    (tmp_path / "r.bed").write_text("chrX\t43680\t43700\nchrX\t0\t10\n")
+    main(["alignments", str(tmp_path / "t.sam"), "--output", f"{out}/al", "--unmapped", "--bed", f"own={tmp_path}/r.bed", "--region", "chrX:43000-44000"])
+    assert "read\t" in "".join(p.read_text() for p in (out / "al" / "rows").glob("part-*"))
+    summary = "".join(p.read_text() for p in (out / "al" / "coverage" / "own" / "summary").glob("part-*"))
+    assert "chrX\t43680\t43700\t20\t11\t0.55\t0\t1" in summary and "own\t0\t30\t30\t11\t0.37\t0\t1" in summary
+    main(["coverage", str(tmp_path / "t.sam"), "--output", f"{out}/cov", "--segments", "30000"])
+    main(["lint", str(tmp_path / "a.fastq"), "--output", f"{out}/lint"])
+    assert "@r1 runid=a" in "".join(p.read_text() for p in (out / "lint").glob("part-*"))
