@@ -379,7 +379,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block
     dealt = own.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     raw = written(dealt.mapInArrow(_raw_blocks(tokenizer, code, end_id, block), RAW), "ids")
     counted = raw.filter("seq = -1").select(F.explode(F.arrays_zip("row", "len")).alias("c")).groupBy(F.col("c.row").alias("id")).agg(F.sum("c.len").alias("n")).collect()  # as many rows as the vocabulary, at most
-    shared = (sorted(r["id"] for r in counted), [r["n"] for r in sorted(counted)])
+    shared = ([r["id"] for r in sorted(counted)], [r["n"] for r in sorted(counted)]) if counted else ([end_id], [1])
     sent = docs.sparkSession.sparkContext.broadcast(shared)
     kept = "pid int, seq int, n long, first long, row array<long>, doc_id array<long>, len array<long>, whole array<boolean>, frame binary"
     frames = written(raw.filter("seq >= 0").mapInArrow(_encoder(sent, code, lanes, every), kept), "frames", codec="uncompressed")
