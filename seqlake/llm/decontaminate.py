@@ -76,20 +76,20 @@ def verified(hit: Column, own: Column, window: int, errors: int) -> Column:
     return F.exists(F.sequence(F.lit(1), hit["size"] - w + 1), lambda s: F.aggregate(F.slice(same, s, w), F.lit(0), lambda a, x: a + x) >= w - allowed)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW, errors: int = ERRORS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """docs with `items`, the sorted ids of benchmark items found (empty: clean)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW, errors: int = ERRORS, most_broadcast: int = MOST_BROADCAST, name: str = "items") -> DataFrame:
+    """docs with `items`, the sorted ids of benchmark items found (empty: clean), in place of a column of that name."""
     found = hits(docs, benchmark, text=text, item_id=item_id, item_text=item_text, masks=masks, most_broadcast=most_broadcast)
     kind = f"array<{dict(benchmark.dtypes)[item_id]}>"
     rows = docs.withColumn("_tk", F.xxhash64(text)).join(found.select(F.col("tk").alias("_tk"), F.col("found").alias("_found")), "_tk", "left").drop("_tk")
     rows = rows.withColumn("_ws", F.when(F.col("_found").isNotNull(), words(F.col(text))))
     good = F.filter("_found", lambda x: verified(x, F.col("_ws"), window, errors))
     ids = F.array_sort(F.array_distinct(F.transform(good, lambda x: x["item"])))
-    return rows.withColumn("items", F.coalesce(F.when(F.col("_found").isNotNull(), ids), F.array().cast(kind))).drop("_found", "_ws")
+    return rows.withColumn(name, F.coalesce(F.when(F.col("_found").isNotNull(), ids), F.array().cast(kind))).drop("_found", "_ws")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the contaminated ones."""
-    return contamination(docs, benchmark, **how).filter(F.size("items") == 0).drop("items")
+    return contamination(docs, benchmark, name="_items", **how).filter(F.size("_items") == 0).drop("_items")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -111,7 +111,7 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], *,
     path: list[list[float]] = []
     for _ in range(steps):
         r = rate(path, low, high, min(max(1.0, low), high))
-        now = rows.withColumn("_r", r).agg(*(F.sum(F.col("_r") * F.col("_n") * F.col("_p")[i]).alias(f"t{i}") for i in range(k))).first()
+        now = rows.withColumn("_now", r).agg(*(F.sum(F.col("_now") * F.col("_n") * F.col("_p")[i]).alias(f"t{i}") for i in range(k))).first()
         off = [now[f"t{i}"] - target[i] for i in range(k)]
         if max(map(abs, off)) <= tolerance * total:
             break
@@ -119,21 +119,23 @@ def fit_rates(rows: DataFrame, domains: list[str], weights: dict[str, float], *,
     return path
 
 
-def mixed(docs: DataFrame, labels: DataFrame, *, domain: str = "quality", weights: dict[str, float] = WEIGHTS, low: float = LOW, high: float = HIGH, budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text", seed: int = 17) -> tuple[DataFrame, list[str]]:
-    """(docs with n_tokens, posteriors, rate and copies, the domains in the order of posteriors)."""
+def mixed(docs: DataFrame, labels: DataFrame, *, domain: str = "quality", weights: dict[str, float] = WEIGHTS, low: float = LOW, high: float = HIGH, budget: float = 1.0, steps: int = STEPS, tolerance: float = TOLERANCE, doc_id: str = "doc_id", text: str = "text", seed: int = 17, prefix: str = "") -> tuple[DataFrame, list[str]]:
+    """(docs with n_tokens, posteriors, rate and copies, in place of columns of those names; the domains in the order of posteriors)."""
     model = fitted(docs, labels, domain=domain, doc_id=doc_id, text=text)
     domains = [d for d, _, _ in model]
     rows = written(posteriors(docs.select(F.col(text).alias("_text")), model, "_text").select(tokens(F.col("_text")).alias("_n"), "_p"), "posteriors")
     path = fit_rates(rows, domains, weights, low=low, high=high, budget=budget, steps=steps, tolerance=tolerance)
-    out = posteriors(docs, model, text).withColumn("rate", rate(path, low, high, min(max(1.0, low), high)))
+    own = docs.drop(*(f"{prefix}{c}" for c in ("n_tokens", "posteriors", "rate", "copies")))
+    out = posteriors(own, model, text).withColumn("_rate", rate(path, low, high, min(max(1.0, low), high)))
     u = F.pmod(F.xxhash64(row_key(F.col(doc_id), F.col(text)), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return out.withColumns({"n_tokens": tokens(F.col(text)), "copies": F.floor(F.col("rate") + u).cast("int")}).withColumnRenamed("_p", "posteriors"), domains
+    out = out.withColumns({f"{prefix}n_tokens": tokens(F.col(text)), f"{prefix}copies": F.floor(F.col("_rate") + u).cast("int")})
+    return out.withColumnsRenamed({"_p": f"{prefix}posteriors", "_rate": f"{prefix}rate"}), domains
 
 
 def repeated(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """docs, each row as often as it is drawn."""
-    out, _ = mixed(docs, labels, **how)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    out, _ = mixed(docs, labels, prefix="_", **how)
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

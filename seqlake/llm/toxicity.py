@@ -196,7 +196,7 @@ def _feature_lists(model, among=None):
     return run
 
 
-def _scorer(model, learnt):
+def _scorer(model, learnt, name="score"):
     def run(batches):
         import pyarrow as pa
 
@@ -225,7 +225,7 @@ def _scorer(model, learnt):
             return 1 - miss
 
         for b in batches:
-            yield b.drop_columns(["_text"]).append_column("score", pa.array([score(t) for t in b.column("_text").to_pylist()], pa.float64()))
+            yield b.drop_columns(["_text"]).append_column(name, pa.array([score(t) for t in b.column("_text").to_pylist()], pa.float64()))
 
     return run
 
@@ -268,8 +268,8 @@ def learn(labelled: DataFrame, model, *, min_texts: int = MIN_TEXTS, min_precisi
     return chosen, min(0.29, (uncovered + 0.5) / max(1, n_all - len(explained) + 1))
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", id_col: str = "doc_id", carry: list[str] | None = None, most_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs (or their columns `carry`) with a score (0 to 1). keep: over labels, the rows that may be learnt from."""
+def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", id_col: str = "doc_id", carry: list[str] | None = None, name: str = "score", most_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs (or their columns `carry`) with a score (0 to 1), in place of a column of that name. keep: over labels, the rows that may be learnt from."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(character_model(docs, text))
     marks = labels.filter(keep & F.col(id_col).isNotNull() & F.col(mark).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(mark).cast("int")).alias("y"))
@@ -280,8 +280,8 @@ def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "d
     rows = own.join(F.broadcast(marks), "_id").groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
     rows = written(rows, "labelled")
     learnt = learn(rows, model)
-    out = docs.select(*(carry or docs.columns), F.col(text).alias("_text"))
-    return out.mapInArrow(_scorer(model, learnt), out.drop("_text").withColumn("score", F.lit(0.0)).schema)
+    out = docs.select(*(c for c in carry or docs.columns if c != name), F.col(text).alias("_text"))
+    return out.mapInArrow(_scorer(model, learnt, name), out.drop("_text").withColumn(name, F.lit(0.0)).schema)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -297,4 +297,4 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3) -> DataFrame:
     """docs without those scored at the threshold or above."""
-    return scored(docs, labels, keep=remainder(F.col("doc_id")) != 2).filter(F.col("score") < threshold).drop("score")
+    return scored(docs, labels, keep=remainder(F.col("doc_id")) != 2, name="_score").filter(F.col("_score") < threshold).drop("_score")

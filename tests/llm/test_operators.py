@@ -131,7 +131,7 @@ def test_benchmark_passages(spark):
     words = items[0][1].split()
     changed = list(words)
     changed[5], changed[20] = "other", "thing"
-    rows = [*ODD, (50, prose(40, 1) + " " + " ".join(words).upper() + "!"), (51, " ".join(changed)), (52, prose(60, 2)), (53, "so JUST four, words here."), (54, " ".join(words[:12]) + " " + prose(20, 3)), (55, " ".join(words[8:24])), (56, items[1][1] + "\n" + items[0][1])]
+    rows = [*ODD, (50, prose(40, 1) + " " + " ".join(words).upper() + "!"), (51, " ".join(changed)), (52, prose(60, 2)), (53, "so JUST four, words here."), (54, " ".join(words[:10]) + " " + prose(20, 3)), (55, " ".join(words[8:24])), (56, items[1][1] + "\n" + items[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {x.doc_id: x["items"] for x in decontaminate.contamination(frame(spark, rows), bench).collect()}
     assert {i: v for i, v in got.items() if v} == {50: [1], 51: [1], 53: [3], 55: [1], 56: [1, 2]}
@@ -262,7 +262,7 @@ def test_mixing_meets_targets(spark):
         rows.append((1000 + i, prose(40 + i % 7, i) if not noisy else prose(40, i).replace(" ", "### ")))
         labels.append((1000 + i, 0 if noisy else 1))
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, quality int")
-    out, domains = mixing.mixed(frame(spark, rows).drop("rate"), lab, weights={"0": 0.2, "1": 0.8})
+    out, domains = mixing.mixed(frame(spark, rows), lab, weights={"0": 0.2, "1": 0.8})
     got = out.collect()
     assert domains == ["0", "1"] and len(got) == len(rows)
     n = sum(x.n_tokens for x in got)
@@ -272,8 +272,8 @@ def test_mixing_meets_targets(spark):
     assert all(x.rate >= 0 and x.copies in (int(x.rate), int(x.rate) + 1) for x in got)
     same = [(x.rate, x.copies) for x in got if x.doc_id == 10]
     assert same[0] == same[1]
-    again = mixing.repeated(frame(spark, rows).drop("rate"), lab, weights={"0": 0.4, "1": 0.6}, low=1.0, budget=1.2)
+    again = mixing.repeated(frame(spark, rows), lab, weights={"0": 0.4, "1": 0.6}, low=1.0, budget=1.2)
     assert {x.doc_id for x in again.select("doc_id").collect()} == {i for i, _ in rows}
-    one, names = mixing.mixed(frame(spark, rows).drop("rate"), lab.limit(0))
+    one, names = mixing.mixed(frame(spark, rows), lab.limit(0))
     assert names == ["all"] and {round(x.rate, 6) for x in one.collect()} == {1.0}
-    assert mixing.mixed(frame(spark, []).drop("rate"), lab)[0].count() == 0
+    assert mixing.mixed(frame(spark, []), lab)[0].count() == 0
