@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share; one of our own only where that is unset."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqlake-")
+        own = tempfile.mkdtemp(prefix="seqlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
