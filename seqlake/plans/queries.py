@@ -328,10 +328,13 @@ def polya_hist(spark, d):
     return histogram.lengths(filtering.poly_a(rows), "pt")
 
 
-@query(f"WITH {ALN_SQL}, e AS (SELECT name, pos, a, m - m // 2 AS m1, i, m // 2 AS m2, de, b FROM aln WHERE l_linenumber = 1) SELECT name, qpos, CASE WHEN qpos < a THEN -1 WHEN qpos < a + m1 THEN pos + qpos - a WHEN qpos < a + m1 + i THEN -1 WHEN qpos < a + m1 + i + m2 THEN pos + qpos - a - i ELSE -1 END AS rpos FROM (SELECT *, unnest(range(0, a + m1 + i + m2 + b)) AS qpos FROM e)")
+@query(f"""WITH {ALN_SQL}, e AS (SELECT name, pos, a, m - m // 2 AS m1, i, m // 2 AS m2, b, unnest(range(0, a + m + i + b)) AS q FROM aln),
+r AS (SELECT name, q, CASE WHEN q < a THEN -1 WHEN q < a + m1 THEN pos + q - a WHEN q < a + m1 + i THEN -1 WHEN q < a + m1 + i + m2 THEN pos + q - a - i ELSE -1 END AS rpos FROM e)
+SELECT name, count(*) AS bases, count(*) FILTER (rpos >= 0) AS aligned, CAST(coalesce(sum(rpos * (q + 1)) FILTER (rpos >= 0), 0) AS BIGINT) AS weighted FROM r GROUP BY name""")
 def qpos_rpos_map(spark, d):
-    rows = aln(spark, d).filter("l_linenumber = 1")
-    return rows.select("name", F.posexplode(A.query_to_reference(F.col("cigar"), F.col("pos"))).alias("qpos", "rpos")).withColumn("qpos", F.col("qpos").cast("long"))
+    rows = aln(spark, d).select("name", A.query_to_reference(F.col("cigar"), F.col("pos")).alias("m"))
+    weighed = F.transform("m", lambda x, i: F.when(x >= 0, x * (i + 1)).otherwise(0))
+    return rows.select("name", F.size("m").cast("long").alias("bases"), F.size(F.filter("m", lambda x: x >= 0)).cast("long").alias("aligned"), F.aggregate(weighed, F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
 
 
 # --- coverage ------------------------------------------------------------------------------------
