@@ -328,9 +328,9 @@ def polya_hist(spark, d):
     return histogram.lengths(filtering.poly_a(rows), "pt")
 
 
-@query(f"""WITH {ALN_SQL}, e AS (SELECT name, pos, a, m - m // 2 AS m1, i, m // 2 AS m2, b, unnest(range(0, a + m + i + b)) AS q FROM aln),
-r AS (SELECT name, q, CASE WHEN q < a THEN -1 WHEN q < a + m1 THEN pos + q - a WHEN q < a + m1 + i THEN -1 WHEN q < a + m1 + i + m2 THEN pos + q - a - i ELSE -1 END AS rpos FROM e)
-SELECT name, count(*) AS bases, count(*) FILTER (rpos >= 0) AS aligned, CAST(coalesce(sum(rpos * (q + 1)) FILTER (rpos >= 0), 0) AS BIGINT) AS weighted FROM r GROUP BY name""")
+@query(f"""WITH {ALN_SQL}, e AS (SELECT id, name, pos, a, m - m // 2 AS m1, i, m // 2 AS m2, b, unnest(range(0, a + m + i + b)) AS q FROM (SELECT *, row_number() OVER () AS id FROM aln)),
+r AS (SELECT id, name, q, CASE WHEN q < a THEN -1 WHEN q < a + m1 THEN pos + q - a WHEN q < a + m1 + i THEN -1 WHEN q < a + m1 + i + m2 THEN pos + q - a - i ELSE -1 END AS rpos FROM e)
+SELECT name, count(*) AS bases, count(*) FILTER (rpos >= 0) AS aligned, CAST(coalesce(sum(rpos * (q + 1)) FILTER (rpos >= 0), 0) AS BIGINT) AS weighted FROM r GROUP BY id, name""")
 def qpos_rpos_map(spark, d):
     rows = aln(spark, d).select("name", A.query_to_reference(F.col("cigar"), F.col("pos")).alias("m"))
     weighed = F.transform("m", lambda x, i: F.when(x >= 0, x * (i + 1)).otherwise(0))
