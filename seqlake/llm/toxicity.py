@@ -188,10 +188,15 @@ def _feature_lists(model, among=None):
         import pyarrow as pa
 
         restorer, few = Restorer(model.value), among.value if among else None
+        def of(text):
+            found = {f for w in words_of(text, restorer) for f in word_features(w)}
+            return sorted(found if few is None else found & few)
+
         for b in batches:
-            feats = [{f for w in words_of(t, restorer) for f in word_features(w)} for t in b.column("text").to_pylist()]
-            feats = [sorted(f if few is None else f & few) for f in feats]
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("y"), pa.array(feats, pa.list_(pa.string()))], ["key", "y", "f"])
+            for at in range(0, b.num_rows, 100):  # all features of a whole batch would fill memory
+                some = b.slice(at, 100)
+                feats = pa.array([of(t) for t in some.column("text").to_pylist()], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([some.column("key"), some.column("y"), feats], ["key", "y", "f"])
 
     return run
 
