@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key, table, written
 
-DEPTH, ALIKE, MIN_DOCS, GROUP = 3, 0.7, 4, 2000
+DEPTH, ALIKE, MIN_DOCS, GROUP = 3, 0.7, 4, 256
 VARIABLE = "<*>"
 DIGIT = re.compile(r"\d")
 
