@@ -34,7 +34,7 @@ def quality_udf(offset: int = ASCII, wrap: int = 0):
                 return math.nan
             q = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype("i8") - offset
             q = q % wrap if wrap else np.clip(q, 0, len(table) - 1)
-            return -10.0 * math.log10(float(np.add.accumulate(table[q])[-1]) / len(q))
+            return 0.0 - 10.0 * math.log10(float(np.add.accumulate(table[q])[-1]) / len(q))
 
         return pa.array([one(s) for s in quals.to_pylist()], pa.float64()).cast(pa.float32())
 
@@ -48,4 +48,4 @@ def mean_quality(quals: Column, offset: int = ASCII, wrap: int = 0) -> Column:
 def mean_quality_of(values: Column) -> Column:
     """Mean quality of an array of numeric qualities: built-in functions only; NaN if empty or any is 255 (missing)."""
     total = F.aggregate(values, F.lit(0.0), lambda a, q: a + phred_probability(q))
-    return F.when((F.size(values) == 0) | F.exists(values, lambda q: q == 255), F.lit(float("nan"))).otherwise(-10 * F.log10(total / F.size(values))).cast("float")
+    return F.when((F.size(values) == 0) | F.exists(values, lambda q: q == 255), F.lit(float("nan"))).otherwise(F.lit(0.0) - 10 * F.log10(total / F.size(values))).cast("float")

@@ -32,7 +32,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 # --- reads: documents as read records ----------------------------------------------------------
 
-QUALITY = "CAST(CAST(-10 * log10(list_sum([pow(10, -(unicode(c) % 60) / 10.0) for c in string_split(text, '')]) / length(text)) AS FLOAT) AS DOUBLE)"
+QUALITY = "CAST(CAST(0 - 10 * log10(list_sum([pow(10, -(unicode(c) % 60) / 10.0) for c in string_split(text, '')]) / length(text)) AS FLOAT) AS DOUBLE)"
 READS_SQL = f"reads AS (SELECT doc_id AS read_id, source AS filename, lang AS runid, n_chars AS length, {QUALITY} AS quality FROM documents)"
 STATUS_SQL = "CASE WHEN length > 6000 THEN 'R_TOO_LONG' WHEN length < 600 THEN 'R_TOO_SHORT' WHEN quality < 14.5 THEN 'R_LOW_QUALITY' ELSE 'R_RECORD_OK' END"
 BOUNDS = {"max_length": 6000, "min_length": 600, "min_quality": 14.5}
@@ -52,7 +52,7 @@ def mean_phred(spark, d):
     return t(spark, d, "documents").select("doc_id", F.round(P.mean_quality(F.col("text"), 0, 60).cast("double"), 2).alias("mean_quality"))
 
 
-@query("""SELECT o_orderkey, round(CAST(CAST(-10 * log10((pow(10, -(o_orderkey % 40) / 10.0) + pow(10, -(o_custkey % 41) / 10.0)) / 2) AS FLOAT) AS DOUBLE), 2) AS mean_quality FROM orders""")
+@query("""SELECT o_orderkey, round(CAST(CAST(0 - 10 * log10((pow(10, -(o_orderkey % 40) / 10.0) + pow(10, -(o_custkey % 41) / 10.0)) / 2) AS FLOAT) AS DOUBLE), 2) AS mean_quality FROM orders""")
 def mean_phred_array(spark, d):
     q = F.array(F.col("o_orderkey") % 40, F.col("o_custkey") % 41)
     return t(spark, d, "orders").select("o_orderkey", F.round(P.mean_quality_of(q).cast("double"), 2).alias("mean_quality"))
