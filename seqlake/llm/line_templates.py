@@ -6,10 +6,12 @@ template; the places where they differ become variables. A template seen in `min
 recurs, and its lines are dropped everywhere.
 
 Only leaves that `min_docs` documents reach can hold such a template, so only their lines are compared.
-A leaf's distinct masked lines are compared in groups of about `group`; groups that come to the same
-template are joined, so no leaf is collected in one task. Lines are what stands between "\\n"; blank lines
-are kept and not counted. Null texts stay null, with no lines. Repeated rows (id and text) count as one
-document and get the same result. Rows with different ids or texts are different documents.
+A leaf's distinct masked lines grow its templates one after the other, in order of their hash, in one
+sorted stream: an index of the templates' tokens by place finds those that a line may be alike, so memory
+holds the templates and two numbers a line, and `group` (lines handed on at once) has no bearing on the
+result. Lines are what stands between "\\n"; blank lines are kept and not counted. Null texts stay null, with
+no lines. Repeated rows (id and text) count as one document and get the same result. Rows with different
+ids or texts are different documents.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import row_key, table, written
 
-DEPTH, ALIKE, MIN_DOCS, GROUP = 3, 0.7, 4, 256
+DEPTH, ALIKE, MIN_DOCS, GROUP = 3, 0.7, 4, 20_000
 VARIABLE = "<*>"
 DIGIT = re.compile(r"\d")
 
@@ -57,53 +59,75 @@ def _lines(depth: int):
     return run
 
 
-def templates_of(lines: list[str], alike: float) -> list[str]:
-    """The template of each masked line of a leaf, in the given order."""
-    made: list[list[str]] = []
-    at = []
-    for line in lines:
-        tokens = line.split(" ")
-        best, share = -1, alike
-        for k, t in enumerate(made):
-            same = sum(a == b for a, b in zip(t, tokens, strict=False)) / len(tokens)
-            if len(t) == len(tokens) and same >= share and (same > share or best < 0):
-                best, share = k, same
+class Templates:
+    """Templates of lines in the given order: a line joins the first of those that it is most alike."""
+
+    def __init__(self, alike: float):
+        self.alike, self.made, self.at = alike, [], {}
+
+    def add(self, tokens: list[str]) -> int:
+        """The number of the template that the line joins or begins."""
+        size, made, at = len(tokens), self.made, self.at
+        need = next((k for k in range(size + 1) if k / size >= self.alike), size + 1)
+        # A template alike differs in at most size - need places, so it agrees in one of any size - need + 1.
+        lists = sorted((at.get((size, p, t), ()) for p, t in enumerate(tokens)), key=len)[: size - need + 1]
+        best, most = -1, need
+        for k in sorted(set().union(*lists)) if need else range(len(made)):
+            if len(made[k]) == size:
+                same = sum(map(str.__eq__, made[k], tokens))
+                if same >= most and (same > most or best < 0):
+                    best, most = k, same
         if best < 0:
-            at.append(len(made))
+            best = len(made)
             made.append(tokens)
-        else:
-            made[best] = [a if a == b else VARIABLE for a, b in zip(made[best], tokens, strict=True)]
-            at.append(best)
-    return [" ".join(made[k]) for k in at]
+            for p, t in enumerate(tokens):
+                at.setdefault((size, p, t), []).append(best)
+        elif most < size:
+            old = made[best]
+            made[best] = [a if a == b else VARIABLE for a, b in zip(old, tokens, strict=True)]
+            for p, (a, b) in enumerate(zip(old, made[best], strict=True)):
+                if a != b:
+                    at[size, p, a].remove(best)
+                    at.setdefault((size, p, VARIABLE), []).append(best)
+        return best
+
+    def __iter__(self):
+        return (" ".join(t) for t in self.made)
+
 
+def templates_of(lines: list[str], alike: float) -> list[str]:
+    """The template of each masked line of a leaf, in the given order."""
+    grown = Templates(alike)
+    at = [grown.add(line.split(" ")) for line in lines]
+    made = list(grown)
+    return [made[k] for k in at]
 
-def _grouped(alike: float):
+
+def _grouped(alike: float, group: int):
     def run(batches):
-        """Rows (leaf, part, line, masked) in order of leaf and part: (leaf, line, template hash)."""
+        """Rows (leaf, line, masked) in order of leaf: (leaf, line, template hash)."""
+        from array import array
+
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest as h
 
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        at, lines, texts = None, [], []
+        leaf, lines, ks, grown = None, array("q"), array("q"), Templates(alike)
 
         def flush():
-            found = [signed(h(t)) for t in templates_of(texts, alike)]
-            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(lines), pa.int64()), pa.array(lines, pa.int64()), pa.array(found, pa.int64())], ["leaf", "line", "template"])
+            of = array("q", (signed(h(t)) for t in grown))
+            for i in range(0, len(lines), group):
+                own, found = lines[i : i + group], [of[k] for k in ks[i : i + group]]
+                yield pa.RecordBatch.from_arrays([pa.array([leaf] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(found, pa.int64())], ["leaf", "line", "template"])
 
-        held = []
         for b in batches:
-            for leaf, part, line, text in zip(*(b.column(c).to_pylist() for c in ("leaf", "part", "line", "masked")), strict=True):
-                if at != (leaf, part):
-                    if lines:
-                        held.append(flush())
-                    at, lines, texts = (leaf, part), [], []
+            for at, line, text in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "masked")), strict=True):
+                if at != leaf:
+                    yield from flush()
+                    leaf, lines, ks, grown = at, array("q"), array("q"), Templates(alike)
                 lines.append(line)
-                texts.append(text)
-            if held:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held = []
-        if lines:
-            yield flush()
+                ks.append(grown.add(text.split(" ")))
+        yield from flush()
 
     return run
 
@@ -116,10 +140,9 @@ def recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", de
     reach = written(reach, "reach")
     hot = written(reach.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "leaves")
     kinds = reach.select("leaf", "line").distinct().join(hot, "leaf").groupBy("leaf").agg(F.count("*").alias("kinds"))
-    many = written(kinds.filter("kinds > 1").select("leaf", F.ceil(F.col("kinds") / group).alias("parts")), "leaves")
-    apart = F.pmod("line", F.col("parts")).alias("part")
-    rows = lines.select("leaf", "line", "masked").join(many, "leaf").groupBy("leaf", apart, "line").agg(F.first("masked").alias("masked"))
-    found = rows.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "line").mapInArrow(_grouped(alike), "leaf long, line long, template long")
+    many = written(kinds.filter("kinds > 1").select("leaf"), "leaves")
+    rows = lines.select("leaf", "line", "masked").join(many, "leaf").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    found = rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_grouped(alike, group), "leaf long, line long, template long")
     found = written(found, "templates")
     single = kinds.filter("kinds = 1").select("leaf").join(reach, "leaf").select("leaf", "line", "doc", F.col("line").alias("template"))
     of = reach.join(found, ["leaf", "line"]).select("leaf", "line", "doc", "template").unionByName(single)

@@ -255,6 +255,20 @@ def test_line_templates(spark):
     assert line_templates.without_templates(frame(spark, [])).count() == 0
 
 
+def test_line_templates_do_not_depend_on_the_size_of_a_leaf(spark):
+    r = random.Random(5)
+    words = [f"{a}{b}" for a in "bcdfghjk" for b in ("am", "en", "ir", "ot")]
+    notices = [f"all of the staff must sign {w} at the desk" for w in words[:9]]
+    others = ["all of the " + " ".join(r.choice(words) for _ in range(7)) for _ in range(900)]  # the same leaf
+    rows = [(i, x) for i, x in enumerate([*notices, *others])]
+    assert {len(x.split()) for _, x in rows} == {10}
+    drop = brute_templates(rows, 4)
+    assert set(notices) <= drop and len(drop) < 100
+    for how in ({}, {"group": 2}, {"group": 10**6}):
+        out = line_templates.without_templates(frame(spark, rows), **how).collect()
+        assert {t for i, t in rows if i in {x.doc_id for x in out if x.n_dropped}} == drop
+
+
 def test_mixing_meets_targets(spark):
     rows, labels = list(ODD), []
     for i in range(300):

@@ -143,6 +143,29 @@ def test_templates():
     assert got == ["a b c <*>", "a b c <*>", "z y x w"]
 
 
+def plain_templates(lines, alike):
+    made, at = [], []
+    for line in lines:
+        tokens = line.split(" ")
+        shares = [sum(map(str.__eq__, t, tokens)) / len(tokens) if len(t) == len(tokens) else -1 for t in made]
+        best = max(range(len(made)), key=lambda k: (shares[k], -k), default=None)
+        if best is None or shares[best] < alike:
+            at.append(len(made))
+            made.append(tokens)
+        else:
+            at.append(best)
+            made[best] = [a if a == b else L.VARIABLE for a, b in zip(made[best], tokens, strict=True)]
+    return [" ".join(made[k]) for k in at]
+
+
+@pytest.mark.parametrize("alike", (0.3, 0.5, 0.7, 1.0))
+def test_templates_by_index_equal_all_comparisons(alike):
+    r = random.Random(3)
+    for size in (1, 3, 4, 5, 7, 10):
+        lines = [" ".join(r.choice(("a", "b", "c", L.VARIABLE)) for _ in range(r.choice((size, size, size + 1)))) for _ in range(150)]
+        assert L.templates_of(lines, alike) == plain_templates(lines, alike)
+
+
 def lm(words):
     """A model of a word list, as character_model makes one of a corpus."""
     code, n4 = X.letter_codes(), np.zeros(X.DEEP)
