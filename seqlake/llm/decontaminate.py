@@ -4,7 +4,9 @@ Texts are lower-cased runs of letters and digits. Fixed masks hash some words of
 others, so a window still meets its source where words were replaced. Windows of documents meet those of
 benchmark items by hash; around each hit the two are laid over one another, and a document is contaminated
 if `window` words in a row (the whole item, if shorter) agree but for `errors` substitutions (in proportion,
-if shorter). Items shorter than a mask's span get a mask of their own length without gaps.
+if shorter). The masks together meet 13 words whichever two were replaced (each at some place within them).
+Shorter items get masks of their own length: each leaves out some blocks of it, so that one is whole
+wherever the substitutions allowed fall.
 
 Windows of the benchmark are broadcast if there are at most `most_broadcast`; beyond that they are joined
 by shuffle. Null and empty texts, on either side, have no windows. Texts that repeat are judged alike. An
@@ -13,12 +15,14 @@ empty benchmark leaves all clean.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-MASKS = ("110110101101", "111001011011")
+MASKS = ("1110100011", "1001111001")
 WINDOW, ERRORS = 13, 2
 MOST_BROADCAST = 2_000_000
 
@@ -27,6 +31,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
+def block_masks(size: int, errors: int) -> list[str]:
+    """Masks as long as an item; each keeps two of errors + 2 blocks, and errors leave two of them whole."""
+    cut = [size * k // (errors + 2) for k in range(errors + 3)]
+    kept = combinations(list(zip(cut, cut[1:], strict=False)), 2)
+    masks = ("".join("1" if any(a <= k < b for a, b in two) else "0" for k in range(size)) for two in kept)
+    return sorted({m for m in masks if "1" in m})
+
+
 def window_hashes(own: str, size: str, masks: list[str]) -> Column:
     """All masks' hashes at all positions, one mask after the other; masks are of one span."""
     span = len(masks[0])
@@ -50,17 +62,15 @@ def tokenised(df: DataFrame, text: str, *keep) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(*keep, words(F.col(text)).alias("ws")).withColumn("n", F.size("ws"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, text: str, item_id: str, item_text: str, masks=MASKS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, *, text: str, item_id: str, item_text: str, masks=MASKS, window: int = WINDOW, errors: int = ERRORS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(tk, found): for each hash of a document's text, the items and diagonals where windows meet."""
     items = written(tokenised(benchmark, item_text, F.col(item_id).alias("item")).filter("n > 0").withColumn("iid", F.monotonically_increasing_id()), "items")
-    span = len(masks[0])
-    short = [r["n"] for r in items.filter(F.col("n") < span).select("n").distinct().collect()]  # fewer than the span
-    groups = [list(masks), *(["1" * n] for n in sorted(short))]
+    short = [r["n"] for r in items.filter(F.col("n") < window).select("n").distinct().collect()]  # fewer than the window
+    groups = [(F.col("n") >= window, list(masks)), *((F.col("n") == n, block_masks(n, n * errors // window)) for n in sorted(short))]
     own = tokenised(docs, text, F.xxhash64(text).alias("tk"))
     met = None
-    for masks_ in groups:
-        exact = items if len(masks_[0]) >= span else items.filter(F.col("n") == len(masks_[0]))
-        index = written(windows(exact, "iid", masks_).select("h", "iid", F.col("i").alias("j")), "index")
+    for which, masks_ in groups:
+        index = written(windows(items.filter(which), "iid", masks_).select("h", "iid", F.col("i").alias("j")), "index")
         index = F.broadcast(index) if index.count() <= most_broadcast else index
         some = windows(own, "tk", masks_).join(index, "h").select("tk", "iid", (F.col("i") - F.col("j")).alias("diagonal"))
         met = some if met is None else met.unionByName(some)
@@ -78,7 +88,7 @@ def verified(hit: Column, own: Column, window: int, errors: int) -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW, errors: int = ERRORS, most_broadcast: int = MOST_BROADCAST, name: str = "items") -> DataFrame:
     """docs with `items`, the sorted ids of benchmark items found (empty: clean), in place of a column of that name."""
-    found = hits(docs, benchmark, text=text, item_id=item_id, item_text=item_text, masks=masks, most_broadcast=most_broadcast)
+    found = hits(docs, benchmark, text=text, item_id=item_id, item_text=item_text, masks=masks, window=window, errors=errors, most_broadcast=most_broadcast)
     kind = f"array<{dict(benchmark.dtypes)[item_id]}>"
     rows = docs.withColumn("_tk", F.xxhash64(text)).join(found.select(F.col("tk").alias("_tk"), F.col("found").alias("_found")), "_tk", "left").drop("_tk")
     rows = rows.withColumn("_ws", F.when(F.col("_found").isNotNull(), words(F.col(text))))

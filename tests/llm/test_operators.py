@@ -168,6 +168,24 @@ def test_benchmark_windows_like_brute_force(spark):
         assert {k for k, m in sure.get(i, {}).items() if m == 0} <= got[i]  # and every exact one
 
 
+def test_benchmark_passages_with_every_placement_of_substitutions(spark):
+    items = [(k, prose(n, 700 + k)) for k, n in enumerate((25, 7, 9, 10, 12, 13))]
+    rows, due = [], {}
+    for k, x in items:
+        w = x.split()
+        start, size = (6, 13) if len(w) > 13 else (0, len(w))
+        for n in range(size * 2 // 13 + 1):
+            for at in itertools.combinations(range(size), n):
+                bare = ["other" if i in at else t for i, t in enumerate(w[start : start + size])]
+                for text in (bare, [*prose(3, 5).split(), *bare, *prose(3, 6).split()]):
+                    due[len(rows)] = [k]
+                    rows.append((len(rows), " ".join(text)))
+    over = items[1][1].split()
+    rows.append((len(rows), " ".join(["other", "other", *over[2:]])))  # more than an item of 7 words allows
+    got = {x.doc_id: x["items"] for x in decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {**due, len(rows) - 1: []}
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     bad, rows, labels = ("vilest", "grubbo", "mudhead"), list(ODD), []
