@@ -27,7 +27,7 @@ from .common import table, text_key, written
 
 #: What signs may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t"}
-MOST_SPAN = 60  # a longer disguise is decoded piece by piece
+MOST_SPAN = 60  # a longer disguise is not remembered
 TRAIN_ROWS = 20_000  # bound of the labelled sample that features are learnt from
 SINGLE = -2.5  # log-probability that a doubled letter stands for one
 MIN_TEXTS = 3  # texts that a feature must newly explain
@@ -86,13 +86,13 @@ def character_model(docs: DataFrame, text: str = "text"):
 
 # --- restoring -----------------------------------------------------------------------------------
 
-# Spaced letters (one between each two), signs in or around letters, a letter three times or more.
+# Spaced letters (one between each two), signs in or around letters, a letter twice or more.
 _SIGN, _LETTER = r"[0134578@$!|€+9]", r"[^\W\d_]"
 SPACED = rf"(?<![^\W_])(?:[^\W_]|[@$!|€+])(?:[ .\-_*](?:[^\W_]|[@$!|€+])){{2,}}(?![^\W_])"
-MIXED = rf"(?<![^\W_]){_SIGN}*{_LETTER}+(?:{_SIGN}+{_LETTER}+)+[0134578@$]*|(?<![^\W_]){_SIGN}+{_LETTER}+[0134578@$]*|(?<![^\W_]){_LETTER}{{2,}}[0134578@$]+(?![\w@$])"
-LONG = r"[^\W_]*([^\W\d_])\1\1[^\W_]*"
+MIXED = rf"(?<![^\W_]){_SIGN}*{_LETTER}+(?:{_SIGN}+{_LETTER}+)+[0134578@$]*|(?<![^\W_]){_SIGN}+{_LETTER}+[0134578@$]*|(?<![^\W_]){_LETTER}+[0134578@$]+(?![\w@$])"
+LONG = r"[^\W_]*([^\W\d_])\1[^\W_]*"
 DISGUISED = re.compile(f"{SPACED}|{MIXED}|{LONG}")
-HINT = re.compile(r"[0134578@$!|€+9][^\W\d_]|[^\W\d_][0134578@$]|(?<![^\W_])[^\W_][ .\-_*][^\W_][ .\-_*][^\W_](?![^\W_])|([^\W\d_])\1\1")
+HINT = re.compile(r"[0134578@$!|€+9][^\W\d_]|[^\W\d_][0134578@$]|(?<![^\W_])[^\W_][ .\-_*][^\W_][ .\-_*][^\W_](?![^\W_])|([^\W\d_])\1")
 
 
 class Restorer:
@@ -125,13 +125,13 @@ class Restorer:
     def decode(self, span: str) -> str:
         """The likeliest word of letters; the span itself if it has no letters to read."""
         s, arcs = self.lattice(span)
-        ends: dict[int, dict] = {0: {(BOUND, BOUND, BOUND): (0.0, "")}}
+        ends: dict[int, dict] = {0: {(BOUND, BOUND, BOUND): (0.0, None)}}  # with (the way so far, letters)
         model = self.model
         by: dict[int, list] = {}
         for i, *arc in arcs:
             by.setdefault(i, []).append(arc)
         for i in range(len(s)):
-            here = ends.get(i)
+            here = ends.pop(i, None)
             if not here:
                 continue
             for j, w, cost in by.get(i, ()):
@@ -143,11 +143,19 @@ class Restorer:
                         p += model[((a * BASE + b) * BASE + c) * BASE + d]
                         a, b, c = b, c, d
                     if slot.get((a, b, c), (-1e300,))[0] < p:
-                        slot[a, b, c] = (p, done + w)
+                        slot[a, b, c] = (p, (done, w))
         last = ends.get(len(s))
         if not last:
             return span
-        return max((p + model[((a * BASE + b) * BASE + c) * BASE + BOUND], w) for (a, b, c), (p, w) in last.items())[1]
+
+        def read(way) -> str:
+            out = []
+            while way:
+                way, w = way
+                out.append(w)
+            return "".join(reversed(out))
+
+        return max((p + model[((a * BASE + b) * BASE + c) * BASE + BOUND], read(way)) for (a, b, c), (p, way) in last.items())[1]
 
     def one(self, m: re.Match) -> str:
         span = m.group(0)
@@ -155,7 +163,9 @@ class Restorer:
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[span] = " ".join(self.decode(span[k : k + MOST_SPAN]) for k in range(0, len(span), MOST_SPAN))
+            got = self.decode(span)
+            if len(span) <= MOST_SPAN:
+                self.known[span] = got
         return got
 
     def restore(self, text: str) -> str:

@@ -188,6 +188,17 @@ def test_restoring():
     assert r.restore("ab26" * 200)
 
 
+def test_restoring_long_spans_and_doubled_letters():
+    known = ["idiot", "loser", "stupid", "trash", "moron", "little", "ass"]
+    r = X.Restorer(lm([f"{a} {b} {c}" for a in known for b in known for c in known]))
+    words = ["idiot", "loser", "stupid", "trash", "moron"] * 4
+    assert r.restore(" ".join("".join(words))).split() == words
+    assert r.restore("m" + "o" * 100 + "ron") == "moron"
+    for a, b in (("iddiott", "idiot"), ("a$$", "ass"), ("little", "little")):
+        assert r.restore(a) == b
+    assert len(r.restore("s t u p i d " * 2000 + "x").split()) >= 2000
+
+
 def test_viterbi_is_exact():
     import itertools
 
