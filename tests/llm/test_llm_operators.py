@@ -294,8 +294,8 @@ def test_mixing_meets_targets(spark):
         rows.append((1000 + i, prose(40 + i % 7, i) if not noisy else prose(40, i).replace(" ", "### ")))
         labels.append((1000 + i, 0 if noisy else 1))
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, quality int")
-    out, domains = mixing.mixed(frame(spark, rows), lab, weights={"0": 0.2, "1": 0.8})
-    got = out.collect()
+    mix = mixing.mixed(frame(spark, rows), lab, weights={"0": 0.2, "1": 0.8}, strict=True)
+    domains, got = mix.domains, mix.rows.collect()
     assert domains == ["0", "1"] and len(got) == len(rows)
     n = sum(x.n_tokens for x in got)
     assert n == sum(len(re.findall(r"[^ \n\t\r]+", t or "")) for _, t in rows)
@@ -306,6 +306,58 @@ def test_mixing_meets_targets(spark):
     assert same[0] == same[1]
     again = mixing.repeated(frame(spark, rows), lab, weights={"0": 0.4, "1": 0.6}, low=1.0, budget=1.2)
     assert {x.doc_id for x in again.select("doc_id").collect()} == {i for i, _ in rows}
-    one, names = mixing.mixed(frame(spark, rows), lab.limit(0))
-    assert names == ["all"] and {round(x.rate, 6) for x in one.collect()} == {1.0}
-    assert mixing.mixed(frame(spark, []), lab)[0].count() == 0
+    one = mixing.mixed(frame(spark, rows), lab.limit(0))
+    assert one.domains == ["all"] and {round(x.rate, 6) for x in one.rows.collect()} == {1.0}
+    assert mixing.mixed(frame(spark, []), lab).rows.count() == 0
+    with pytest.raises(ValueError):  # beyond what rates up to 4 can reach
+        mixing.mixed(frame(spark, rows), lab, budget=9.0, strict=True)
+    with pytest.warns(UserWarning):
+        far = mixing.mixed(frame(spark, rows), lab, budget=9.0)
+    assert far.residual > 0.5 and max(x.rate for x in far.rows.collect()) == 4.0
+
+
+def test_mixing_like_brute_force(spark):
+    """Posteriors from the model's terms and least squares by plain gradient descent, over three domains."""
+    import math
+
+    import numpy as np
+    import xxhash
+
+    pool = {d: [f"{d}{x}{y}" for x in "abcdef" for y in "mnop"] for d in "uvw"}
+    r, rows, labels = random.Random(8), [(None, None), (1, ""), (2, "u u\t\nu")], []
+    for i in range(360):
+        d = "uvw"[i % 3]
+        mixed = [r.choice(pool[d if r.random() < 0.8 else r.choice("uvw")]) for _ in range(r.randrange(1, 60))]
+        rows.append((10 + i, r.choice((" ", "  ", "\n")).join(mixed)))
+        labels.append((10 + i, d))
+    lab = spark.createDataFrame(labels, "doc_id long, kind string")
+    docs = frame(spark, rows)
+    model = mixing.fitted(docs, lab, domain="kind", doc_id="doc_id", text="text")
+    mix = mixing.mixed(docs, lab, domain="kind", weights={"u": 0.5, "v": 0.3, "w": 0.2}, high=3.0, strict=True)
+    got = {x.doc_id: x for x in mix.rows.collect()}
+    signed = lambda h: h - (1 << 64) * (h >> 63)
+
+    def h(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode(), seed)
+        return signed(seed) % mixing.BUCKETS
+
+    def posterior(text):
+        ws = [w for w in re.split(r"[ \n\t\r]", text or "") if w]
+        x = [sum(own[h(w)] + own[h("end", w[-2:])] for w in ws) / max(1, len(ws)) / 100 for own in model.weights] + [1.0, math.log1p(len(ws))]
+        e = [1.0, *(math.exp(sum(a * b for a, b in zip(x, t))) for t in model.terms)]
+        p = [round(v / sum(e) * 1000) / 1000 for v in e[:-1]]
+        return len(ws), [*p, 1 - sum(p)]
+
+    n, p = zip(*(posterior(t) for _, t in rows))
+    for (i, _), size, own in zip(rows, n, p):
+        assert got[i].n_tokens == size and max(abs(a - b) for a, b in zip(got[i].posteriors, own)) <= 0.0011
+    assert sum(max(range(3), key=lambda k: got[i].posteriors[k]) == "uvw".index(d) for i, d in labels) > 330
+    n, p = np.array(n, float), np.array([got[i].posteriors for i, _ in rows])
+    want, rate = np.array([0.5, 0.3, 0.2]) * n.sum(), np.ones(len(n))
+    for _ in range(4000):
+        rate = np.clip(rate - p @ ((rate * n) @ p - want) / (n @ (p * p).sum(1)), 0.0, 3.0)
+    assert np.abs((rate * n) @ p - want).max() <= 1e-3 * n.sum()
+    assert np.abs(np.array([got[i].rate for i, _ in rows]) @ (n[:, None] * p) - want).max() <= 1e-3 * n.sum()
+    assert all(0 <= x.rate <= 3 for x in got.values())
