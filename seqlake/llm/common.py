@@ -44,6 +44,16 @@ def row_key(doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat_ws("\x01", F.coalesce(doc_id.cast("string"), F.lit("\x02")), F.coalesce(text, F.lit("\x02"))))
 
 
+def salted_join(rows: DataFrame, few: DataFrame, on: list[str], by: Column, *, salts: int = 8) -> DataFrame:
+    """rows joined with `few`, which has each key once: a key with a third of the rows is dealt to `salts` tasks by `by`.
+
+    What a broadcast or Spark's own splitting of skewed joins makes needless costs `few` x salts small rows.
+    """
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = few.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(salts)))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", *, most_rounds: int = 60) -> DataFrame:
     """(node, label): the least node of each connected component, for every node of an edge.
 

@@ -1,29 +1,32 @@
 """Line dedup by a log-template tree (10).
 
 Each line goes down a tree of fixed depth: its number of tokens, then its leading tokens (a token with a
-digit is a variable, `<*>`). Lines of a leaf whose tokens agree in at least the share `alike` become one
-template; the places where they differ become variables. A template seen in `min_docs` documents or more
-recurs, and its lines are dropped everywhere.
-
-Only leaves that `min_docs` documents reach can hold such a template, so only their lines are compared.
-A leaf's distinct masked lines grow its templates one after the other, in order of their hash, in one
-sorted stream: an index of the templates' tokens by place finds those that a line may be alike, so memory
-holds the templates and two numbers a line, and `group` (lines handed on at once) has no bearing on the
-result. Lines are what stands between "\\n"; blank lines are kept and not counted. Null texts stay null, with
-no lines. Repeated rows (id and text) count as one document and get the same result. Rows with different
-ids or texts are different documents.
+digit is a variable, `<*>`). In a leaf the tokens after the leading ones are cut into up to `blocks` blocks;
+a template leaves up to `wild` of them open, together at most the share 1 - `alike` of the line's tokens, and
+takes in every line of the leaf that has its other tokens. Lines under `least` tokens have no open blocks. A
+template seen in `min_docs` documents or more recurs, and its lines are dropped everywhere.
+
+So a line's templates are fixed by the line alone, and a template is a key to count by: leaves of any size
+are dealt by template, not whole, and neither the order of lines nor the number of partitions has a bearing
+on the result. Only leaves that `min_docs` documents reach, and templates that two different lines share, go
+on to the count of documents; a line's own recurrence is counted besides. Keys are 64-bit hashes (of lines
+together with their leaf's). Lines are what stands between "\n"; blank lines are kept and not counted.
+Null texts stay null, with no lines. Repeated rows (id and text) count as one document and get the same
+result. Rows with different ids or texts are different documents.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table, written
+from .common import row_key, salted_join, table, written
 
-DEPTH, ALIKE, MIN_DOCS, GROUP = 3, 0.7, 4, 20_000
+DEPTH, ALIKE, MIN_DOCS = 3, 0.7, 4
+LEAST, BLOCKS, WILD = 6, 8, 3
 VARIABLE = "<*>"
 DIGIT = re.compile(r"\d")
 
@@ -59,102 +62,93 @@ def _lines(depth: int):
     return run
 
 
-class Templates:
-    """Templates of lines in the given order: a line joins the first of those that it is most alike."""
-
-    def __init__(self, alike: float):
-        self.alike, self.made, self.at = alike, [], {}
-
-    def add(self, tokens: list[str]) -> int:
-        """The number of the template that the line joins or begins."""
-        size, made, at = len(tokens), self.made, self.at
-        need = next((k for k in range(size + 1) if k / size >= self.alike), size + 1)
-        # A template alike differs in at most size - need places, so it agrees in one of any size - need + 1.
-        lists = sorted((at.get((size, p, t), ()) for p, t in enumerate(tokens)), key=len)[: size - need + 1]
-        best, most = -1, need
-        for k in sorted(set().union(*lists)) if need else range(len(made)):
-            if len(made[k]) == size:
-                same = sum(map(str.__eq__, made[k], tokens))
-                if same >= most and (same > most or best < 0):
-                    best, most = k, same
-        if best < 0:
-            best = len(made)
-            made.append(tokens)
-            for p, t in enumerate(tokens):
-                at.setdefault((size, p, t), []).append(best)
-        elif most < size:
-            old = made[best]
-            made[best] = [a if a == b else VARIABLE for a, b in zip(old, tokens, strict=True)]
-            for p, (a, b) in enumerate(zip(old, made[best], strict=True)):
-                if a != b:
-                    at[size, p, a].remove(best)
-                    at.setdefault((size, p, VARIABLE), []).append(best)
-        return best
-
-    def __iter__(self):
-        return (" ".join(t) for t in self.made)
-
-
-def templates_of(lines: list[str], alike: float) -> list[str]:
-    """The template of each masked line of a leaf, in the given order."""
-    grown = Templates(alike)
-    at = [grown.add(line.split(" ")) for line in lines]
-    made = list(grown)
-    return [made[k] for k in at]
-
-
-def _grouped(alike: float, group: int):
+def open_blocks(size: int, depth: int, alike: float, least: int, blocks: int, wild: int) -> tuple[list[int], list[tuple[int, ...]]]:
+    """(where the blocks of a line of `size` tokens begin and the last ends, the sets of blocks that its templates leave open).
+
+    Sets that lie within another one are left out: who agrees on more agrees on less.
+    """
+    rest = size - depth
+    most = int((1 - alike) * size + 1e-9)
+    if size < least or rest < 1 or most < 1:
+        return [], []
+    n = min(rest, blocks)
+    cut = [depth + rest * k // n for k in range(n + 1)]
+    width = lambda s: sum(cut[k + 1] - cut[k] for k in s)
+    fit = [s for w in range(1, min(wild, n) + 1) for s in combinations(range(n), w) if width(s) <= most]
+    return cut, [s for s in fit if not any(set(s) < set(t) for t in fit)]
+
+
+def template_keys(tokens: list[str], depth: int, cut: list[int], sets: list[tuple[int, ...]]) -> list[int]:
+    """A key for each template of a masked line; cut and sets as open_blocks() gives them for its size."""
+    from xxhash import xxh3_64_intdigest as h
+
+    if not sets:
+        return []
+    own = [h(" ".join(tokens[a:b]), k + 1) for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False))]
+    whole = h(f"{len(tokens)} {' '.join(tokens[:depth])}")
+    for x in own:
+        whole ^= x
+    keys = []
+    for no, s in enumerate(sets):
+        key = whole
+        for k in s:
+            key ^= own[k]
+        keys.append(h(key.to_bytes(8, "little"), no))
+    return keys
+
+
+def _keys(depth: int, *how):
     def run(batches):
-        """Rows (leaf, line, masked) in order of leaf: (leaf, line, template hash)."""
-        from array import array
-
+        """Rows (leaf, line, masked) to (leaf, line, template)."""
+        import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_64_intdigest as h
 
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        leaf, lines, ks, grown = None, array("q"), array("q"), Templates(alike)
+        shapes: dict[int, tuple] = {}  # by size
 
-        def flush():
-            of = array("q", (signed(h(t)) for t in grown))
-            for i in range(0, len(lines), group):
-                own, found = lines[i : i + group], [of[k] for k in ks[i : i + group]]
-                yield pa.RecordBatch.from_arrays([pa.array([leaf] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(found, pa.int64())], ["leaf", "line", "template"])
+        def keys(line):
+            tokens = line.split(" ")
+            if len(tokens) not in shapes:
+                shapes[len(tokens)] = open_blocks(len(tokens), depth, *how)
+            return template_keys(tokens, depth, *shapes[len(tokens)])
 
         for b in batches:
-            for at, line, text in zip(*(b.column(c).to_pylist() for c in ("leaf", "line", "masked")), strict=True):
-                if at != leaf:
-                    yield from flush()
-                    leaf, lines, ks, grown = at, array("q"), array("q"), Templates(alike)
-                lines.append(line)
-                ks.append(grown.add(text.split(" ")))
-        yield from flush()
+            for at in range(0, b.num_rows, 2000):
+                some = b.slice(at, 2000)
+                made = [keys(t) for t in some.column("masked").to_pylist()]
+                of = pa.array(np.repeat(np.arange(len(made)), [len(k) for k in made]))
+                flat = pa.array(np.array([k for ks in made for k in ks], "u8").view("i8"))
+                yield pa.RecordBatch.from_arrays([some.column("leaf").take(of), some.column("line").take(of), flat], ["leaf", "line", "template"])
 
     return run
 
 
-def recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS, group: int = GROUP):
-    """(lines, dropped): every line (key, no, leaf, line), and the (leaf, line, docs) that recur."""
+def recurring(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, alike: float = ALIKE, min_docs: int = MIN_DOCS, least: int = LEAST, blocks: int = BLOCKS, wild: int = WILD):
+    """(lines, dropped): every line (key, no, leaf, line), and the (leaf, line) that recur."""
     own = docs.filter(F.col(text).isNotNull()).select(row_key(F.col(doc_id), F.col(text)).alias("key"), F.col(text).alias("text"))
     lines = written(own.mapInArrow(_lines(depth), "key string, no int, leaf long, line long, masked string"), "lines")
-    reach = lines.select("leaf", "line", F.xxhash64("key").alias("doc")).distinct()
-    reach = written(reach, "reach")
-    hot = written(reach.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf"), "leaves")
-    kinds = reach.select("leaf", "line").distinct().join(hot, "leaf").groupBy("leaf").agg(F.count("*").alias("kinds"))
-    many = written(kinds.filter("kinds > 1").select("leaf"), "leaves")
-    rows = lines.select("leaf", "line", "masked").join(many, "leaf").groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
-    found = rows.repartition("leaf").sortWithinPartitions("leaf", "line").mapInArrow(_grouped(alike, group), "leaf long, line long, template long")
-    found = written(found, "templates")
-    single = kinds.filter("kinds = 1").select("leaf").join(reach, "leaf").select("leaf", "line", "doc", F.col("line").alias("template"))
-    of = reach.join(found, ["leaf", "line"]).select("leaf", "line", "doc", "template").unionByName(single)
-    often = written(of.select("leaf", "template", "doc").distinct().groupBy("leaf", "template").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "recurring")
-    dropped = written(of.select("leaf", "line", "template").distinct().join(often, ["leaf", "template"]).select("leaf", "line", "docs"), "dropped")
+    reach = written(lines.select("leaf", "line", F.xxhash64("key").alias("doc")).distinct(), "reach")
+    exact = reach.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    exact = written(exact, "exact")
+    leaves = reach.select("leaf", "doc").distinct().groupBy("leaf").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("leaf")
+    many = written(exact.groupBy("leaf").agg(F.count("*").alias("kinds")).filter("kinds > 1").join(leaves, "leaf").select("leaf"), "leaves")
+    some = salted_join(lines.select("leaf", "line", "masked"), many, ["leaf"], F.col("line"))
+    some = some.groupBy("leaf", "line").agg(F.first("masked").alias("masked"))
+    keys = written(some.mapInArrow(_keys(depth, alike, least, blocks, wild), "leaf long, line long, template long"), "keys")
+    shared = keys.groupBy("template").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("template")
+    keys = written(salted_join(keys, shared, ["template"], F.col("line")), "keys")
+    # A line of many documents meets its few templates here, so its documents are dealt, not the templates.
+    docs_of = salted_join(reach, keys.groupBy("leaf", "line").agg(F.collect_list("template").alias("templates")), ["leaf", "line"], F.col("doc"))
+    seen = docs_of.select(F.explode("templates").alias("template"), "doc").distinct().groupBy("template").agg(F.count("*").alias("docs"))
+    often = written(seen.filter(F.col("docs") >= min_docs).select("template"), "recurring")
+    general = salted_join(keys, often, ["template"], F.col("line")).select("leaf", "line")
+    dropped = written(exact.filter(F.col("docs") >= min_docs).select("leaf", "line").unionByName(general).distinct(), "dropped")
     return lines.select("key", "no", "leaf", "line"), dropped
 
 
 def without_templates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with recurring lines out of column `text`; n_lines counts lines that are not blank, n_dropped those that went."""
     lines, dropped = recurring(docs, doc_id=doc_id, text=text, **how)
-    gone = written(lines.join(dropped.select("leaf", "line"), ["leaf", "line"]).groupBy("key").agg(F.collect_set("no").alias("_gone")), "gone")
+    gone = written(salted_join(lines, dropped, ["leaf", "line"], F.col("key")).groupBy("key").agg(F.collect_set("no").alias("_gone")), "gone")
     rows = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text))).join(gone.withColumnRenamed("key", "_key"), "_key", "left")
     parts = F.split(F.col(text), "\n", -1)
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")

@@ -139,31 +139,18 @@ def test_terms_avoid_base_spans():
 
 def test_templates():
     assert L.masked("on 2024-01-01 user7 came") == ["on", "<*>", "<*>", "came"] and L.masked("  ") == []
-    got = L.templates_of(["a b c d", "a b c e", "z y x w"], 0.7)
-    assert got == ["a b c <*>", "a b c <*>", "z y x w"]
-
-
-def plain_templates(lines, alike):
-    made, at = [], []
-    for line in lines:
-        tokens = line.split(" ")
-        shares = [sum(map(str.__eq__, t, tokens)) / len(tokens) if len(t) == len(tokens) else -1 for t in made]
-        best = max(range(len(made)), key=lambda k: (shares[k], -k), default=None)
-        if best is None or shares[best] < alike:
-            at.append(len(made))
-            made.append(tokens)
-        else:
-            at.append(best)
-            made[best] = [a if a == b else L.VARIABLE for a, b in zip(made[best], tokens, strict=True)]
-    return [" ".join(made[k]) for k in at]
-
-
-@pytest.mark.parametrize("alike", (0.3, 0.5, 0.7, 1.0))
-def test_templates_by_index_equal_all_comparisons(alike):
-    r = random.Random(3)
-    for size in (1, 3, 4, 5, 7, 10):
-        lines = [" ".join(r.choice(("a", "b", "c", L.VARIABLE)) for _ in range(r.choice((size, size, size + 1)))) for _ in range(150)]
-        assert L.templates_of(lines, alike) == plain_templates(lines, alike)
+    how = (3, 0.7, 6, 8, 3)
+    assert L.open_blocks(5, *how) == ([], []) and L.open_blocks(3, *how) == ([], [])
+    cut, sets = L.open_blocks(8, *how)
+    assert cut == [3, 4, 5, 6, 7, 8] and len(sets) == 10 and {len(x) for x in sets} == {2}
+    for n in (6, 10, 13, 30, 400):
+        cut, sets = L.open_blocks(n, *how)
+        assert cut[0] == 3 and cut[-1] == n and 0 < len(sets) <= 56
+        assert all(sum(cut[k + 1] - cut[k] for k in x) * 10 <= 3 * n for x in sets)
+    keys = lambda t: set(L.template_keys(t.split(), 3, *L.open_blocks(len(t.split()), *how)))
+    a, b, c = keys("a b c d e f g h"), keys("a b c d x f y h"), keys("a b c d x f y z")
+    assert len(a & b) == 1 and not a & c and len(b & c) == 4
+    assert not a & keys("a b x d e f g h") and not keys("a b c d e")
 
 
 def lm(words):
