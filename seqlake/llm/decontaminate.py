@@ -39,62 +39,67 @@ def block_masks(size: int, errors: int) -> list[str]:
     return sorted({m for m in masks if "1" in m})
 
 
-def window_hashes(own: str, size: str, masks: list[str]) -> Column:
-    """All masks' hashes at all positions, one mask after the other; masks are of one span."""
-    span = len(masks[0])
-
-    def one(no: int, mask: str) -> Column:
-        at = [k for k, c in enumerate(mask) if c == "1"]
-        return F.transform(F.sequence(F.lit(0), F.col(size) - span), lambda i: F.xxhash64(F.lit(mask), *(F.get(F.col(own), i + k) for k in at)))
-
-    some = F.concat(*(one(no, m) for no, m in enumerate(masks)))
-    return F.when(F.col(size) >= span, some).otherwise(F.array().cast("array<bigint>"))
-
-
 def windows(rows: DataFrame, key: str, masks: list[str]) -> DataFrame:
-    """(key, i, h) from rows with `ws` and `n`: position and hash of every window."""
-    span = len(masks[0])
-    each = rows.filter(F.col("n") >= span).select(key, "n", F.posexplode(window_hashes("ws", "n", masks)).alias("p", "h"))
-    return each.select(key, (F.col("p") % (F.col("n") - span + 1)).alias("i"), "h")
+    """(key, i, h) from rows with `ws` and `n`: position and hash of every window under every mask.
+
+    Words are hashed once; shifted copies of those hashes, laid side by side, become columns, so that the
+    windows' own hashes are plain columns of generated code.
+    """
+    places = sorted({k for m in masks for k, c in enumerate(m) if c == "1"})
+    coded = rows.select(key, "n", F.transform("ws", lambda w: F.xxhash64(w)).alias("hs"))
+    shifted = (F.slice("hs", k + 1, F.greatest(F.col("n") - k, F.lit(0))).alias(f"c{k}") for k in places)
+    at = F.when(F.col("n") > 0, F.sequence(F.lit(0), F.col("n") - 1)).otherwise(F.array().cast("array<int>")).alias("i")
+    # Of an outer generator no filter on its array is inferred, which would cut every text into words again.
+    flat = coded.select(key, "n", F.arrays_zip(at, *shifted).alias("z")).select(key, "n", F.inline_outer("z"))
+    one = lambda m: F.when(F.col("i") + len(m) <= F.col("n"), F.xxhash64(F.lit(m), *(F.col(f"c{k}") for k, c in enumerate(m) if c == "1")))
+    return flat.select(key, "i", F.explode(F.array(*map(one, masks))).alias("h")).filter(F.col("h").isNotNull())
 
 
 def tokenised(df: DataFrame, text: str, *keep) -> DataFrame:
     return df.filter(F.col(text).isNotNull()).select(*keep, words(F.col(text)).alias("ws")).withColumn("n", F.size("ws"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, text: str, item_id: str, item_text: str, masks=MASKS, window: int = WINDOW, errors: int = ERRORS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """(tk, found): for each hash of a document's text, the items and diagonals where windows meet."""
-    items = written(tokenised(benchmark, item_text, F.col(item_id).alias("item")).filter("n > 0").withColumn("iid", F.monotonically_increasing_id()), "items")
+def hits(docs: DataFrame, items: DataFrame, *, text: str, masks, window: int, errors: int, most_broadcast: int) -> DataFrame:
+    """(tk, iid, diagonal, size): where windows of a text (tk: its hash) meet those of an item. Texts are read once."""
     short = [r["n"] for r in items.filter(F.col("n") < window).select("n").distinct().collect()]  # fewer than the window
     groups = [(F.col("n") >= window, list(masks)), *((F.col("n") == n, block_masks(n, n * errors // window)) for n in sorted(short))]
-    own = tokenised(docs, text, F.xxhash64(text).alias("tk"))
-    met = None
-    for which, masks_ in groups:
-        index = written(windows(items.filter(which), "iid", masks_).select("h", "iid", F.col("i").alias("j")), "index")
-        index = F.broadcast(index) if index.count() <= most_broadcast else index
-        some = windows(own, "tk", masks_).join(index, "h").select("tk", "iid", (F.col("i") - F.col("j")).alias("diagonal"))
-        met = some if met is None else met.unionByName(some)
-    met = written(met.distinct(), "hits")
-    return written(met.join(items, "iid").groupBy("tk").agg(F.collect_list(F.struct("item", "diagonal", F.col("ws").alias("words"), F.col("n").alias("size"))).alias("found")), "found")
-
-
-def verified(hit: Column, own: Column, window: int, errors: int) -> Column:
-    """Does a stretch of the item agree with the text along the diagonal?"""
-    w = F.least(hit["size"], F.lit(window))
+    index = None
+    for which, own in groups:
+        some = windows(items.filter(which), "iid", own)
+        index = some if index is None else index.unionByName(some)
+    size = items.select(F.col("iid"), F.col("n").alias("size"))
+    index = written(index.distinct().join(size, "iid").select("h", "iid", F.col("i").alias("j"), "size"), "index")
+    index = F.broadcast(index) if index.count() <= most_broadcast else index
+    used = sorted({m for _, own in groups for m in own})
+    met = windows(tokenised(docs, text, F.xxhash64(text).alias("tk")), "tk", used).join(index, "h")
+    return met.select("tk", "iid", (F.col("i") - F.col("j")).alias("diagonal"), "size").distinct()
+
+
+def agrees(own: Column, item: Column, diagonal: Column, window: int, errors: int) -> Column:
+    """Does a stretch of the item agree with `own`, the text's words from the item's first place (or the text's first) on?"""
+    size = F.size(item)
+    w = F.least(size, F.lit(window))
     allowed = F.floor(w * errors / window).cast("int")
-    same = F.transform(hit["words"], lambda x, j: F.when((j + hit["diagonal"] >= 0) & (F.get(own, F.greatest(j + hit["diagonal"], F.lit(0))) == x), 1).otherwise(0))
-    return F.exists(F.sequence(F.lit(1), hit["size"] - w + 1), lambda s: F.aggregate(F.slice(same, s, w), F.lit(0), lambda a, x: a + x) >= w - allowed)
+    before = F.greatest(-diagonal, F.lit(0))  # words of the item before the text begins
+    met = F.zip_with(own, F.slice(item, before + 1, F.greatest(size - before, F.lit(0))), lambda x, y: F.when(x == y, 1).otherwise(0))
+    same = F.concat(F.array_repeat(F.lit(0), before), met)
+    return F.exists(F.sequence(F.lit(1), size - w + 1), lambda s: F.aggregate(F.slice(same, s, w), F.lit(0), lambda a, x: a + x) >= w - allowed)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", masks=MASKS, window: int = WINDOW, errors: int = ERRORS, most_broadcast: int = MOST_BROADCAST, name: str = "items") -> DataFrame:
     """docs with `items`, the sorted ids of benchmark items found (empty: clean), in place of a column of that name."""
-    found = hits(docs, benchmark, text=text, item_id=item_id, item_text=item_text, masks=masks, window=window, errors=errors, most_broadcast=most_broadcast)
+    items = written(tokenised(benchmark, item_text, F.col(item_id).alias("item")).filter("n > 0").withColumn("iid", F.monotonically_increasing_id()), "items")
+    met = written(hits(docs, items, text=text, masks=masks, window=window, errors=errors, most_broadcast=most_broadcast), "hits")
+    # A text's hits are numbers; the words that they need are cut from it, an item's length for each.
+    places = met.groupBy("tk").agg(F.collect_set(F.struct("iid", "diagonal", "size")).alias("at"))
+    texts = docs.select(F.xxhash64(text).alias("tk"), F.col(text).alias("_t")).join(places, "tk").dropDuplicates(["tk"]).select("tk", "at", words(F.col("_t")).alias("ws"))
+    cut = lambda x: F.struct("x.iid", "x.diagonal", F.slice(F.col("ws"), F.greatest(F.col("x.diagonal"), F.lit(0)) + 1, F.greatest(F.col("x.size") + F.least(F.col("x.diagonal"), F.lit(0)), F.lit(0))).alias("own"))
+    pieces = texts.select("tk", "ws", F.explode("at").alias("x")).select("tk", cut("x").alias("p")).select("tk", "p.*")
+    good = pieces.join(items.select("iid", "item", F.col("ws").alias("_iw")), "iid").filter(agrees(F.col("own"), F.col("_iw"), F.col("diagonal"), window, errors))
+    found = written(good.groupBy("tk").agg(F.array_sort(F.collect_set("item")).alias("_found")), "found")
     kind = f"array<{dict(benchmark.dtypes)[item_id]}>"
-    rows = docs.withColumn("_tk", F.xxhash64(text)).join(found.select(F.col("tk").alias("_tk"), F.col("found").alias("_found")), "_tk", "left").drop("_tk")
-    rows = rows.withColumn("_ws", F.when(F.col("_found").isNotNull(), words(F.col(text))))
-    good = F.filter("_found", lambda x: verified(x, F.col("_ws"), window, errors))
-    ids = F.array_sort(F.array_distinct(F.transform(good, lambda x: x["item"])))
-    return rows.withColumn(name, F.coalesce(F.when(F.col("_found").isNotNull(), ids), F.array().cast(kind))).drop("_found", "_ws")
+    rows = docs.withColumn("_tk", F.when(F.col(text).isNotNull(), F.xxhash64(text))).join(found.withColumnRenamed("tk", "_tk"), "_tk", "left").drop("_tk")
+    return rows.withColumn(name, F.coalesce("_found", F.array().cast(kind))).drop("_found")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -186,6 +186,16 @@ def test_benchmark_passages_with_every_placement_of_substitutions(spark):
     assert got == {**due, len(rows) - 1: []}
 
 
+def test_benchmark_of_one_repeated_word_and_odd_tables(spark):
+    items = [(1, "no " * 40), (2, "no " * 12 + "yes"), (3, prose(20, 31)), (3, prose(20, 31)), (None, None)]
+    rows = [(1, "no " * 3000), (2, "no " * 13), (3, "no " * 11 + "other yes"), (4, "no " * 10 + prose(9, 4)), (5, prose(20, 31)), (5, prose(20, 31)), (None, None), (6, "")]
+    bench = spark.createDataFrame([(*x, 0.5, "h") for x in items], "item_id long, text string, n double, tk string")
+    got = decontaminate.contamination(frame(spark, rows), bench).collect()
+    assert len(got) == len(rows)
+    assert {(x.doc_id, tuple(x["items"])) for x in got} == {(1, (1, 2)), (2, (1, 2)), (3, (1, 2)), (4, ()), (5, (3,)), (None, ()), (6, ())}
+    assert decontaminate.contamination(frame(spark, []), bench).count() == 0
+
+
 def test_toxicity(spark):
     r = random.Random(2)
     bad, rows, labels = ("vilest", "grubbo", "mudhead"), list(ODD), []
