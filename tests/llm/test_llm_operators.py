@@ -50,15 +50,16 @@ def test_urls(spark):
 def test_top_k_ties_nulls_and_shapes(spark):
     r = random.Random(5)
     rows = [(i, [r.uniform(-1, 1) for _ in range(6)]) for i in range(150)] + [(200 + i, [0.5] * 6) for i in range(60)]
-    bad = [(401, None), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [1e30] * 6)]
+    rows += [(500, [5e6, 1.0]), (501, [-4.2e6] * 6), (520, [1e7, -1e7, 0.0, 3.3]), (540, [2.0**29, 1.0, 0.0, 0.0, 2.0**26]), (541, [-(2.0**28), 0.5])]  # wide components
+    bad = [(401, None), (402, [1.0, None]), (403, [float("nan")] * 6), (404, [float("inf")] * 6), (None, [1.0] * 6), (405, [float("-inf")] * 6), (406, [1e308] * 6)]
     df = spark.createDataFrame([*rows, rows[40], (420, [0.25])] + bad, "vec_id long, embedding array<double>")
     v = topk.integer_vectors(df, "vec_id", "embedding", 64)
     got = {}
     for x in topk.top_k(v, v.filter("id % 20 = 0"), k=20, pack=32, chunk=4, block=8).collect():
         got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
-    vecs = [(i, [int(e * 64 // 1) for e in x]) for i, x in [*rows, rows[40], (420, [0.25])]]
+    vecs = [(i, [int(float(e) * 64 // 1) for e in x]) for i, x in [*rows, rows[40], (420, [0.25])]]
     for q, x in {i: x for i, x in vecs if i % 20 == 0}.items():
-        s = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in vecs if i != q)[:20]
+        s = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(x, y)))), i) for i, y in vecs if i != q)[:20]
         assert sorted(got[q]) == [(k, i, -m) for k, (m, i) in enumerate(s, 1)]
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
