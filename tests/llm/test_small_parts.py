@@ -42,6 +42,27 @@ def test_banded_alignment():
         assert M.edit_distance(a, b, k) == min(distance(a, b), k + 1)
 
 
+def test_seeded_alignment_is_an_alignment():
+    random.seed(4)
+    tight = 0
+    for _ in range(400):
+        n, v = random.choice([0, 1, 4, 5, 30, 120]), random.choice([2, 30, 1000])
+        a = [random.randrange(v) for _ in range(n)]
+        b = list(a)
+        for _ in range(random.choice([0, 1, 3, 10])):
+            i, o = random.randrange(len(b) + 1), random.random()
+            b[i : i + (o > 0.3)] = [] if o > 0.7 else [random.randrange(v)]
+        if random.random() < 0.1:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        x, y, d = np.array(a, "u8"), np.array(b, "u8"), distance(a, b)
+        got = M.seeded_edits(x, y, 5)
+        assert d <= got <= max(len(a), len(b)) * 2
+        tight += got == d
+        if a and b:
+            assert M.alike(x, y, 0.8, 5) == (d <= int(0.2 * max(len(a), len(b)) + 1e-9))
+    assert tight > 200
+
+
 def test_order_minhash_takes_the_least_in_text_order():
     rng = np.random.default_rng(1)
     for n in (1, 2, 3, 10, 40, 3000):
