@@ -4,8 +4,12 @@ Documents are dealt by ranges of doc_id and encoded in that order; each partitio
 ids into blocks of about `block` tokens, which are encoded apart from each other under one frequency
 table counted over all tokens. A block is a frame of interleaved lanes with a checkpoint (lane states
 and word offset) every `every` steps, a checksum of each stretch of words and one of the ids, so blocks,
-and stretches within a block, decode in parallel. The frames lie in Parquet files, which any file system
-that Spark writes can hold, next to the table of frequencies.
+and stretches within a block, decode in parallel. The store is a folder of two Parquet tables, which any
+file system that Spark writes can hold: `frames` and `table`, the frequencies. Its path is all that a reader
+needs, in any session.
+
+A tokenizer that lower-cases and drops white space is run on distinct chunks between white space; any other
+file goes through the library's own encode_batch.
 
 Null texts count as empty: their only id is the end id. Null ids come first. Rows with equal ids are
 ordered by text, each with its own start; rows that repeat both are written each. A document of more
@@ -16,13 +20,14 @@ from __future__ import annotations
 
 import re
 import struct
+import uuid
 import zlib
 from array import array
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import shared_dir, table, written
 
 MAGIC = b"SLR1"
 END_ID = 2
@@ -46,6 +51,23 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b if b in keep else next(rest)) for b in range(256)}
 
 
+# What a tokenizer file must say for its ids to be those of its lower-cased chunks in turn.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_chunks(path: str) -> bool:
+    """Does this tokenizer lower-case, and cut at white space and by SPLIT?"""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    steps = (own.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    cut = steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
+    bytes_after = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    return own.get("normalizer") == NORMALIZER and bool(cut and bytes_after) and not own.get("post_processor") and not own.get("truncation")
+
+
 class WordIds(dict):
     """Ids (as bytes) of white-space-free chunks, by the tokenizers library.
 
@@ -61,6 +83,7 @@ class WordIds(dict):
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.code, self.kind, self.chars = code, {"u2": "H", "u4": "I"}[code], byte_chars()
+        self.plain = by_chunks(path)
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= WORDS_KEPT:
@@ -69,20 +92,31 @@ class WordIds(dict):
         got = self[piece] = array(self.kind, [t.id for t in self.model.tokenize(text)]).tobytes()
         return got
 
+    def chunks(self, some: list[str]) -> list[bytes]:
+        """The ids of each; a few hundred at a time are tested and lower-cased together."""
+        out, find = [], PIECES.findall
+        for at in range(0, len(some), 512):
+            joined = "\n".join(some[at : at + 512])
+            if PLAIN.fullmatch(joined) and "<|" not in joined:
+                out += [b"".join([self[p] for p in find(s)]) for s in joined.lower().split("\n")]
+            else:
+                out += map(self.chunk, some[at : at + 512])
+        return out
+
     def chunk(self, s: str) -> bytes:
         if PLAIN.fullmatch(s) and "<|" not in s:
             return b"".join([self[p] for p in PIECES.findall(s.lower())])
         return array(self.kind, self.whole.encode(s, add_special_tokens=False).ids).tobytes()
 
 
-def word_ids(path: str, code: str) -> WordIds:
-    """One cache a worker: it stays with the library's module between tasks."""
-    import tokenizers
+_HELD: dict[tuple[str, str], WordIds] = {}
+
 
-    held = tokenizers.__dict__.setdefault("_seqlake_ids", {})
-    if (path, code) not in held:
-        held[path, code] = WordIds(path, code)
-    return held[path, code]
+def word_ids(path: str, code: str) -> WordIds:
+    """One cache a worker, which its tasks share."""
+    if (path, code) not in _HELD:
+        _HELD[path, code] = WordIds(path, code)
+    return _HELD[path, code]
 
 
 def encode_texts(texts, ids: WordIds):
@@ -92,9 +126,12 @@ def encode_texts(texts, ids: WordIds):
     import pyarrow.compute as pc
 
     dtype = np.dtype(f"<{ids.code}")
+    if not ids.plain:
+        every = [e.ids for e in ids.whole.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.array([len(e) for e in every], "i8"), np.array([x for e in every for x in e], dtype)
     split = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
     coded = pc.dictionary_encode(split.flatten())
-    made = [ids.chunk(s) if s else b"" for s in coded.dictionary.to_pylist()]
+    made = ids.chunks([s or "" for s in coded.dictionary.to_pylist()])
     size = np.fromiter(map(len, made), "i8", len(made)) // dtype.itemsize
     flat, at = np.frombuffer(b"".join(made), dtype), np.cumsum(size) - size
     index = coded.indices.to_numpy(zero_copy_only=False).astype("i8", copy=False)
@@ -252,6 +289,7 @@ def crc_join(a: int, b: int, length: int) -> int:
 # --- Spark ---------------------------------------------------------------------------------------
 
 RAW = "pid int, seq int, n long, first long, row array<long>, doc_id array<long>, len array<long>, whole array<boolean>, ids binary"
+FRAMES = "pid int, seq int, n long, first long, row array<long>, doc_id array<long>, len array<long>, whole array<boolean>, frame binary"
 SEGMENT = "pid int, first long, row long, doc_id long, seq int, n long, whole boolean, crc long"
 
 
@@ -372,23 +410,31 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, *, end_id: int = END_ID, block: int = BLOCK, lanes: int = LANES, every: int = EVERY, doc_id: str = "doc_id", text: str = "text"):
-    """Write the frames; returns (frames, table) with frames read back from the files and table as (symbols, counts)."""
+def write_tokens(docs: DataFrame, tokenizer: str, path: str | None = None, *, end_id: int = END_ID, block: int = BLOCK, lanes: int = LANES, every: int = EVERY, doc_id: str = "doc_id", text: str = "text") -> str:
+    """Write a store to a new folder `path` (one in the shared folder if None); returns the path."""
+    spark = docs.sparkSession
+    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     code = "u2" if max(vocabulary_size(tokenizer), end_id + 1) <= 1 << 16 else "u4"
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
     dealt = own.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text")
     raw = written(dealt.mapInArrow(_raw_blocks(tokenizer, code, end_id, block), RAW), "ids")
-    counted = raw.filter("seq = -1").select(F.explode(F.arrays_zip("row", "len")).alias("c")).groupBy(F.col("c.row").alias("id")).agg(F.sum("c.len").alias("n")).collect()  # as many rows as the vocabulary, at most
-    shared = ([r["id"] for r in sorted(counted)], [r["n"] for r in sorted(counted)]) if counted else ([end_id], [1])
-    sent = docs.sparkSession.sparkContext.broadcast(shared)
-    kept = "pid int, seq int, n long, first long, row array<long>, doc_id array<long>, len array<long>, whole array<boolean>, frame binary"
-    frames = written(raw.filter("seq >= 0").mapInArrow(_encoder(sent, code, lanes, every), kept), "frames", codec="uncompressed")
-    return frames, shared
+    counts = raw.filter("seq = -1").select(F.explode(F.arrays_zip("row", "len")).alias("c")).groupBy(F.col("c.row").alias("id")).agg(F.sum("c.len").alias("n"))
+    counts.coalesce(1).write.parquet(f"{path}/table")  # as many rows as the vocabulary, at most
+    sent = spark.sparkContext.broadcast(frequencies(spark, path))
+    raw.filter("seq >= 0").mapInArrow(_encoder(sent, code, lanes, every), FRAMES).write.option("compression", "uncompressed").parquet(f"{path}/frames")
+    return path
+
+
+def frequencies(spark, path: str) -> tuple[list[int], list[int]]:
+    """(symbols, counts) of a store, in order of symbols."""
+    rows = sorted((r["id"], r["n"]) for r in spark.read.schema("id long, n long").parquet(f"{path}/table").collect())
+    return ([r[0] for r in rows], [r[1] for r in rows]) if rows else ([0], [1])
 
 
-def read_tokens(frames: DataFrame, shared) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each written document, decoded from the frames."""
-    sent = frames.sparkSession.sparkContext.broadcast(shared)
+def read_tokens(spark, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document of a store, decoded from its frames."""
+    frames = spark.read.schema(FRAMES).parquet(f"{path}/frames")
+    sent = spark.sparkContext.broadcast(frequencies(spark, path))
     parts = written(frames.mapInArrow(_decoder(sent), SEGMENT), "parts")  # read twice below, decoded once
     cut = parts.filter("not whole").groupBy("pid", "row").applyInPandas(_joined, SEGMENT)
     docs = parts.filter("whole").unionByName(cut)
@@ -402,4 +448,4 @@ def query(spark, sf_dir: str, docs: DataFrame | None = None, tokenizer: str | No
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    return read_tokens(*write_tokens(table(spark, sf_dir, "documents") if docs is None else docs, tokenizer))
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents") if docs is None else docs, tokenizer))

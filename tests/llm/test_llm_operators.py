@@ -77,9 +77,26 @@ def test_tokens_whole_texts(spark):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
-    got = token_store.read_tokens(*token_store.write_tokens(frame(spark, rows), path, block=300, lanes=8, every=5)).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
+    store = token_store.write_tokens(frame(spark, rows), path, block=300, lanes=8, every=5)
+    got = token_store.read_tokens(spark.newSession(), store).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()  # by its path alone
     assert [tuple(r) for r in got] == want
-    assert token_store.read_tokens(*token_store.write_tokens(frame(spark, []), path)).count() == 0
+    assert token_store.read_tokens(spark, token_store.write_tokens(frame(spark, []), path)).count() == 0
+
+
+def test_tokens_of_another_tokenizer(spark):
+    import numpy as np
+    import public_tokenizers
+    import zlib
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_store.by_chunks(path) and token_store.by_chunks(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(1, "Two  Words, and\nMORE"), (2, None), (3, "it's ñ \u4e2d " * 50)]
+    lib = Tokenizer.from_file(path)
+    got = token_store.read_tokens(spark, token_store.write_tokens(frame(spark, rows), path, end_id=50256)).orderBy("doc_id").collect()
+    for x, (_, t) in zip(got, rows, strict=True):
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 50256]
+        assert (x.n_tokens, x.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
 
 
 def similar(a, b):
