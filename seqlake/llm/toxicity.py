@@ -53,18 +53,28 @@ def _gram_counter(batches):
     import numpy as np
     import pyarrow as pa
 
-    code, total = letter_codes(), np.zeros(DEEP, "i8")
+    code, total, short = letter_codes(), np.zeros(DEEP, "i8"), []
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            text = " ".join(t for t in b.column(0).slice(at, 500).to_pylist() if t)
-            for k in range(0, len(text), 4_000_000):
-                x = np.frombuffer(f" {text[k : k + 4_000_003]} ".encode("utf-32-le", "surrogatepass"), "<u4")
+        for text in b.column(0).to_pylist():
+            if not text:
+                continue
+            tail = np.zeros(0, "i8")
+            for k in range(0, len(text) + 1, 4_000_000):  # a piece at a time; the last three codes go on to the next
+                piece = text[k : k + 4_000_000] + (" " if k + 4_000_000 > len(text) else "")
+                x = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
                 c = np.where(x < 0x250, code[np.minimum(x, 0x24F)], 26)
+                c = np.concatenate([tail if k else [BOUND], c])
                 keep = np.ones(len(c), bool)
                 keep[1:] = (c[1:] != BOUND) | (c[:-1] != BOUND)  # edges in a row are one
                 c = c[keep]
                 g = ((c[:-3] * BASE + c[1:-2]) * BASE + c[2:-1]) * BASE + c[3:]
-                total += np.bincount(g, minlength=DEEP)
+                total += np.bincount(g, minlength=DEEP) if len(text) > 20_000 else 0
+                if len(text) <= 20_000:
+                    short.append(g)
+                tail = c[-3:]
+        if short:
+            total += np.bincount(np.concatenate(short), minlength=DEEP)
+            short.clear()
     seen = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["g", "n"])
 

@@ -225,3 +225,20 @@ def test_viterbi_is_exact():
             score = cost + sum(float(model[((c[k] * 28 + c[k + 1]) * 28 + c[k + 2]) * 28 + c[k + 3]]) for k in range(len(c) - 3))
             best = max(best or (score, w), (score, w))
         assert r.decode(span) == best[1]
+
+
+def test_character_counts_do_not_depend_on_batches():
+    code = X.letter_codes()
+    texts = ["Ab, c--d", "", None, "x" * 10, "é ñ", "word " * 5000]
+    want = Counter()
+    for t in texts:
+        if not t:
+            continue
+        c = [X.BOUND, *(int(code[ord(x)]) for x in t), X.BOUND]
+        c = [x for i, x in enumerate(c) if not i or x != X.BOUND or c[i - 1] != X.BOUND]
+        for q in zip(c, c[1:], c[2:], c[3:]):
+            want[((q[0] * X.BASE + q[1]) * X.BASE + q[2]) * X.BASE + q[3]] += 1
+    for cut in (1, 2, 6):
+        batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + cut], pa.string())], ["text"]) for i in range(0, len(texts), cut)]
+        (got,) = X._gram_counter(batches)
+        assert dict(zip(*(got.column(k).to_pylist() for k in (0, 1)))) == want
