@@ -263,10 +263,55 @@ def test_personal_data(spark):
     assert {"chess", "master", "writes"} <= found and "today" not in found and "the" not in found
     assert [(b.k, text[20][b.s : b.e]) for b in got[20].base] == [(0, mail)]
     assert got[60].base and not got[60].terms and not got[7].base and not got[None].base
+    by_join = {x.doc_id: x for x in sanitise.spans(frame(spark, rows), most_told=0).collect()}
+    assert by_join == got
+    assert sanitise.spans(frame(spark, [])).count() == 0
     clean = {x.doc_id: x.text for x in sanitise.sanitised(frame(spark, rows)).collect()}
     assert mail not in clean[20] and "[EMAIL]" in clean[20] and "chess" not in clean[20] and clean[60] == "once [EMAIL] only" and clean[7] is None
 
 
+def test_disclosure_like_brute_force(spark):
+    import math
+
+    r, rows = random.Random(4), list(ODD[1:])
+    people = {f"{n}@mail{k}.example.com": [f"zed{n}", f"often{n}", r.choice(VOCAB)] for k, n in enumerate(("ann", "bob", "cy", "dee", "ed"))}
+    for i in range(150):
+        words = prose(30, 100 + i).split()
+        if i % 3 == 0:
+            who = r.choice(list(people))
+            at = r.randrange(len(words))
+            words[at:at] = [*(w.upper() if r.random() < 0.5 else w for w in people[who]), who] if r.random() < 0.8 else [who]
+        if i % 3 == 1:
+            words.append(r.choice(("oftenann", "oftenbob", "oftency")))
+        if i % 50 == 7:
+            words.append("9233A8ECF7C5B09FE5949719B6B82BC439E9329B aaaaaaaaaaaaaaaaaaaaaaaaaaaaa1")
+        rows.append((100 + i, " ".join(words)))
+    rows.append((900, rows[-1][1]))
+    n, c_e, c_t, c_et = len(rows), {}, {}, {}
+    for _, t in rows:
+        t = t or ""
+        for w in set(re.findall("[a-z]+", t.lower())):
+            c_t[w] = c_t.get(w, 0) + 1
+        for e in {m.group() for m in re.finditer(r"\w+@\S+", t)}:
+            c_e[e] = c_e.get(e, 0) + 1
+            i = t.index(e)
+            near = t[:i].split()[-8:] + t[i + len(e) :].split()[:8]
+            for w in {x.lower() for x in near if x.isalpha() and len(x) >= 3}:
+                c_et[e, w] = c_et.get((e, w), 0) + 1
+    told = {}
+    for (e, w), c in c_et.items():
+        if c >= 2 and c_e[e] >= 2:
+            share = math.log(n * c / (c_e[e] * max(c_t[w], c))) / math.log(n / c_e[e])
+            if share >= 0.5:
+                told[w] = told.get(w, False) or share >= 0.7
+    assert told and not all(told.values())
+    for x in sanitise.spans(frame(spark, rows), disclosure=0.5, removal=0.7).collect():
+        t = dict(rows)[x.doc_id] or ""
+        want = [(m.start(), m.end(), told[m.group().lower()]) for m in re.finditer(r"[^\W\d_]{3,}", t) if m.group().lower() in told and not any(b.s < m.end() and m.start() < b.e for b in x.base)]
+        assert [(y.s, y.e, y.removed) for y in x.terms] == want
+        assert [t[y.s : y.e] for y in x.secrets] == re.findall("9233A8E\\w+", t)
+
+
 def test_licences(spark):
     rows = [*ODD, (20, "intro\nReleased under the MIT License.\nmore"), (21, "Licensed under the Apache License, Version 2.0."), (22, "a permission slip for the school trip on monday"), (23, "This work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.")]
     rows += [(100 + i, f"the driver had no licence {prose(6, i)} all rights") for i in range(40)]
