@@ -39,9 +39,23 @@ def query_end(cigar: Column, length: Column) -> Column:
     return length.cast("long") - F.coalesce(F.regexp_extract(cigar, r"^.*\D(\d+)S(?:\d+H)*$", 1).try_cast("long"), F.lit(0).cast("long"))
 
 
-def alignment_stats(cigar: Column, nm: Column) -> dict[str, Column]:
-    """match, ins, del, sub (substitutions), length, iden, acc. iden and acc are percent, null where undefined."""
-    match, ins, dele = op_total(cigar, "M=X"), op_total(cigar, "I"), op_total(cigar, "D")
+def cigar_totals(cigar: Column) -> Column:
+    """struct<match, ins, del, span> of a CIGAR: matched, inserted and deleted bases, and those of the reference, in one pass."""
+    found = F.regexp_extract_all(cigar, F.lit(r"\d+[MIDNX=]"), F.lit(0))
+    names = ("match", "ins", "del", "span")
+    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in names))
+
+    def step(a, x):
+        n, op = F.substring(x, F.lit(1), F.length(x) - 1).cast("long"), F.right(x, F.lit(1))
+        kinds = {"match": ("M", "=", "X"), "ins": ("I",), "del": ("D",), "span": ("M", "=", "X", "D", "N")}
+        return F.struct(*((a[k] + F.when(op.isin(*ops), n).otherwise(0)).alias(k) for k, ops in kinds.items()))
+
+    return F.aggregate(found, zero, step)
+
+
+def alignment_stats(totals: Column, nm: Column) -> dict[str, Column]:
+    """match, ins, del, sub (substitutions), length, iden, acc from cigar_totals(). iden and acc are percent, null where undefined."""
+    match, ins, dele = totals["match"], totals["ins"], totals["del"]
     sub = nm.cast("long") - ins - dele
     length = match + ins + dele
     return {"match": match, "ins": ins, "del": dele, "sub": sub, "length": length, "iden": percent32(match - sub, match), "acc": (F.lit(100.0) - percent32(nm, length).cast("double")).cast("float")}

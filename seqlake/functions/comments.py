@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .numeric import leading_int
+from .numeric import held, leading_int
 from .readgroup import parse_read_group
 
 # Spellings of each known key, and the tag that it is written as ("" goes to the rest).
@@ -23,6 +23,8 @@ KEYS = {
 NUMBERS = ("read_number", "channel")
 SAM_WORD, PLAIN_WORD = r"(?s)^:*([^:]*)(?::+([^:]+))?(?::(.*))?$", r"(?s)^=*([^=]*)(?:=(.*))?$"
 
+APART = "\x01"
+
 
 def is_sam_comment(comment: Column) -> Column:
     """SAM tags if a read group or run id tag starts the comment or follows a tab."""
@@ -34,21 +36,22 @@ def comment_words(comment: Column, sam: Column) -> Column:
     """array<struct<key,type,value,word>>; value is null for a word without a delimiter."""
     parts = F.filter(F.split(F.coalesce(comment, F.lit("")), F.when(sam, F.lit("\t")).otherwise(F.lit(" "))), lambda w: w != "")
 
-    def cut(w):
-        kind = F.regexp_extract(w, SAM_WORD, 2)
-        return F.struct(
-            F.when(sam, F.regexp_extract(w, SAM_WORD, 1)).otherwise(F.regexp_extract(w, PLAIN_WORD, 1)).alias("key"),
-            F.when(sam, kind).alias("type"),
-            F.when(sam, F.when(kind != "", F.regexp_extract(w, SAM_WORD, 3))).otherwise(F.when(F.contains(w, F.lit("=")), F.regexp_extract(w, PLAIN_WORD, 2))).alias("value"),
-            w.alias("word"),
-        )
-
-    return F.transform(parts, cut)
+    # One replacement a word sets its parts apart by a sign that no comment holds.
+    cut = F.transform(parts, lambda w: F.struct(w.alias("word"), F.split(F.when(sam, F.regexp_replace(w, SAM_WORD, f"$1{APART}$2{APART}$3")).otherwise(F.regexp_replace(w, PLAIN_WORD, f"$1{APART}{APART}$2")), APART, 3).alias("p")))
+    part = lambda x, k: F.get(x["p"], F.lit(k))
+    return F.transform(cut, lambda x: F.struct(
+        part(x, 0).alias("key"),
+        F.when(sam, part(x, 1)).alias("type"),
+        F.when(F.when(sam, part(x, 1) != "").otherwise(F.contains(x["word"], F.lit("="))), part(x, 2)).alias("value"),
+        x["word"],
+    ))
 
 
-def last_value(words: Column, keys: tuple[str, ...]) -> Column:
-    found = F.filter(words, lambda w: w["key"].isin(*keys) & w["value"].isNotNull())
-    return F.get(found, F.size(found) - 1)["value"]
+def last_values(words: Column) -> Column:
+    """struct of the last value of each known field; null where there is none. One fold over the words."""
+    zero = F.struct(*(F.lit(None).cast("string").alias(n) for n in KEYS))
+    step = lambda a, w: F.struct(*(F.when(w["key"].isin(*keys) & w["value"].isNotNull(), w["value"]).otherwise(a[n]).alias(n) for n, (keys, _) in KEYS.items()))
+    return F.aggregate(words, zero, step)
 
 
 def barcode_number(barcode: Column) -> Column:
@@ -59,10 +62,11 @@ def barcode_number(barcode: Column) -> Column:
 def with_read_meta(df: DataFrame, comment: str = "comment") -> DataFrame:
     """df with the fields of each comment: strings default to "", numbers to 0; also tags and rest as text."""
     df = df.withColumn("_sam", is_sam_comment(F.col(comment)))
-    df = df.withColumn("_words", comment_words(F.col(comment), F.col("_sam")))
-    own = {name: F.coalesce(last_value(F.col("_words"), keys), F.lit("")) for name, (keys, _) in KEYS.items()}
-    df = df.withColumns({n: leading_int(v) if n in NUMBERS else v for n, v in own.items()})
-    df = df.withColumn("ibarcode", barcode_number(F.col("barcode"))).withColumn("_group", parse_read_group(F.col("rg")))
+    df = held(df, _words=comment_words(F.col(comment), F.col("_sam")))
+    df = held(df, _last=last_values(F.col("_words")))
+    own = {name: F.coalesce(F.col("_last")[name], F.lit("")) for name in KEYS}
+    df = df.withColumns({n: leading_int(v) if n in NUMBERS else v for n, v in own.items()}).drop("_last")
+    df = held(df.withColumn("ibarcode", barcode_number(F.col("barcode"))), _group=F.when(F.col("rg") != "", parse_read_group(F.col("rg"))))
 
     def tag(w):
         out = F.when(w["value"].isNull(), F.lit(None).cast("string"))

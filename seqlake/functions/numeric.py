@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOP = 100.0  # fixed-width histograms cover [0, 100]
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns (in place of such of their names) that are computed once, however much is built on them.
+
+    The optimiser writes a column out wherever a later one uses it, but not through a generator.
+    """
+    one = F.array(F.struct(*(c.alias(n) for n, c in columns.items())))
+    return df.select(*(c for c in df.columns if c not in columns), F.inline_outer(one))
+
+
 def leading_int(text: Column) -> Column:
     """The integer that a string starts with, or 0."""
     return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d{1,18})", 1).try_cast("long"), F.lit(0)).cast("int")

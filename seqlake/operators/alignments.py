@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.alignment import DUPLICATE, NOT_PRIMARY, QCFAIL, SECONDARY, SUPPLEMENTARY, UNMAPPED, alignment_stats, direction, has, implausible, is_good, op_total, query_end, query_start
-from ..functions.numeric import percent32
+from ..functions.alignment import DUPLICATE, NOT_PRIMARY, QCFAIL, SECONDARY, SUPPLEMENTARY, UNMAPPED, alignment_stats, cigar_totals, direction, has, implausible, is_good, query_end, query_start
+from ..functions.numeric import held, percent32
 from ..functions.readgroup import parse_read_group
 
 ROW = ("name", "runid", "ref", "coverage", "ref_coverage", "qstart", "qend", "rstart", "rend", "aligned_ref_len", "direction", "length", "read_length", "mean_quality", "start_time", "match", "ins", "del", "sub", "iden", "acc", "duplex")
@@ -20,20 +20,35 @@ def with_run(df: DataFrame, rg: str = "rg", rd: str = "rd") -> DataFrame:
     return df.withColumns({"runid": F.coalesce(F.when(there, F.col("_g.runid")).otherwise(F.col(rd)), F.lit("")), "basecaller": F.coalesce(F.col("_g.basecaller"), F.lit(""))}).drop("_g")
 
 
+def placed(df: DataFrame, refs: DataFrame) -> DataFrame:
+    """Good alignments with ref_length, their totals and clips; each CIGAR is read once."""
+    out = df.filter(is_good(F.col("flag"))).join(refs.select(F.col("name").alias("ref"), F.col("length").alias("ref_length")), "ref")
+    out = held(out, _c=cigar_totals(F.col("cigar")), qstart=query_start(F.col("cigar")), qend=query_end(F.col("cigar"), F.col("read_length")))
+    return out.withColumns({**alignment_stats(F.col("_c"), F.col("nm")), "aligned_ref_len": F.col("_c.span")})
+
+
+def fault() -> Column:
+    """Why a placed alignment is refused, or null: no NM, identity or accuracy below 0, or more edits than columns."""
+    wrong = implausible({k: F.col(k) for k in ("iden", "acc", "length")}, F.col("nm"))
+    return F.when(F.col("nm").isNull(), "no NM tag").when(F.coalesce(wrong, F.lit(False)), "implausible alignment information")
+
+
+def refused(df: DataFrame, refs: DataFrame) -> DataFrame:
+    """(name, reason) of the good alignments that alignment_rows leaves out."""
+    return placed(df, refs).select("name", fault().alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def alignment_rows(df: DataFrame, refs: DataFrame, *, strict: bool = False) -> DataFrame:
     """The table of good alignments. df: name, runid, ref, flag, pos, cigar, nm, read_length, mean_quality, start_time, dx.
 
-    Implausible rows (identity or accuracy below 0, or more edits than columns) are left out, or raise if strict.
+    Alignments with a fault() are left out (refused() has them), or raise if strict.
     """
-    stats = alignment_stats(F.col("cigar"), F.col("nm"))
-    out = df.filter(is_good(F.col("flag"))).join(refs.select(F.col("name").alias("ref"), F.col("length").alias("ref_length")), "ref")
-    out = out.withColumns({**stats, "qstart": query_start(F.col("cigar")), "qend": query_end(F.col("cigar"), F.col("read_length")), "aligned_ref_len": op_total(F.col("cigar"), "MDN=X")})
-    wrong = implausible({k: F.col(k) for k in ("iden", "acc", "length")}, F.col("nm"))
+    out = placed(df, refs)
     if strict:
-        out = out.withColumn("nm", F.when(F.coalesce(wrong, F.lit(False)), F.raise_error(F.concat(F.lit("implausible alignment information: "), F.col("name")))).otherwise(F.col("nm")))
-        out = out.filter(F.col("nm").isNotNull())
+        stop = F.when(fault().isNotNull(), F.raise_error(F.concat_ws(": ", fault(), F.col("name"))).cast("long")).otherwise(F.col("nm"))
+        out = held(out, nm=stop).filter(F.col("nm").isNotNull())
     else:
-        out = out.filter(~F.coalesce(wrong, F.lit(False)))
+        out = out.filter(fault().isNull())
     out = out.withColumns({
         "coverage": percent32(F.col("qend") - F.col("qstart"), F.col("read_length")),
         "ref_coverage": percent32(F.col("aligned_ref_len"), F.col("ref_length")),

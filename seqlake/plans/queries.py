@@ -10,6 +10,7 @@ from ..functions import comments as C
 from ..functions import phred as P
 from ..functions import readgroup as R
 from ..functions.dust import dust_fraction
+from ..functions.numeric import held
 from ..operators import alignments, chunks, coverage, filtering, histogram, regions, summary
 
 QUERIES: dict = {}
@@ -266,8 +267,8 @@ def alignment_row(spark, d):
 
 @query(f"WITH {ALN_SQL} SELECT name, m AS match, i AS ins, de AS del, nm - i - de AS sub, m + i + de AS length FROM aln")
 def cigar_stats(spark, d):
-    s = A.alignment_stats(F.col("cigar"), F.col("nm"))
-    return aln(spark, d).select("name", *(s[c].alias(c) for c in ("match", "ins", "del", "sub", "length")))
+    s = A.alignment_stats(F.col("_c"), F.col("nm"))
+    return held(aln(spark, d), _c=A.cigar_totals(F.col("cigar"))).select("name", *(s[c].alias(c) for c in ("match", "ins", "del", "sub", "length")))
 
 
 @query(f"WITH {ALN_SQL} SELECT name, a AS qstart, a + m + i AS qend, pos AS rstart, pos + m + de AS rend FROM aln")
@@ -278,8 +279,8 @@ def clip_bounds(spark, d):
 
 @query(f"WITH {ALN_SQL} SELECT name, round(CAST({PCT('m - (nm - i - de)', 'nullif(m, 0)')} AS DOUBLE), 2) AS iden, round(CAST({ACC} AS DOUBLE), 2) AS acc FROM aln")
 def iden_acc(spark, d):
-    s = A.alignment_stats(F.col("cigar"), F.col("nm"))
-    return aln(spark, d).select("name", F.round(s["iden"].cast("double"), 2).alias("iden"), F.round(s["acc"].cast("double"), 2).alias("acc"))
+    s = A.alignment_stats(F.col("_c"), F.col("nm"))
+    return held(aln(spark, d), _c=A.cigar_totals(F.col("cigar"))).select("name", F.round(s["iden"].cast("double"), 2).alias("iden"), F.round(s["acc"].cast("double"), 2).alias("acc"))
 
 
 FLAGS_SQL = """count(*) AS total, count(*) FILTER (flag & 2308 = 0) AS primary, count(*) FILTER (flag & 256 <> 0) AS secondary, count(*) FILTER (flag & 2048 <> 0) AS supplementary, count(*) FILTER (flag & 4 <> 0) AS unmapped,

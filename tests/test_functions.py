@@ -88,7 +88,7 @@ def test_numbers(spark):
 
 def test_cigar(spark):
     df = spark.createDataFrame([("9S480M36S", 525, 43690 - 1, 0), ("5H3S10M2I4D10M1S2H", 26, 100, 8), ("10M", 10, 0, 1), ("4S", 4, 7, 0)], "c string, n long, pos long, nm long")
-    s = A.alignment_stats(F.col("c"), F.col("nm"))
+    s = A.alignment_stats(A.cigar_totals(F.col("c")), F.col("nm"))
     rows = df.select(A.query_start(F.col("c")), A.query_end(F.col("c"), F.col("n")), A.op_total(F.col("c"), "MDN=X"), *(s[k] for k in ("match", "ins", "del", "sub", "length", "iden", "acc"))).collect()
     assert tuple(rows[0]) == (9, 489, 480, 480, 0, 0, 0, 480, 100.0, 100.0)
     assert tuple(rows[1])[:8] == (3, 25, 24, 20, 2, 4, 2, 26)
