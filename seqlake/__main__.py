@@ -102,6 +102,7 @@ def _records(spark, a):
 def alignments(spark: SparkSession, a) -> None:
     from .operators import regions
     from .operators.filtering import check_arguments
+    from .operators.histogram import WIDTHS
     from .plans.reports import alignments_report
     from .sources import sinks
 
@@ -113,10 +114,13 @@ def alignments(spark: SparkSession, a) -> None:
     tag = (a.tag_name, a.tag_value) if a.tag_name else None
     rep = alignments_report(records, refs, unmapped=a.unmapped and own is None, recalculate_quality=a.recalc_qual, read_group=a.read_group, haplotype=a.haplotype, tag=tag, poly_a_reverse=a.poly_a_rev, regions=own)
     places = {"coverage": 4, "ref_coverage": 4, "mean_quality": 2, "iden": 2, "acc": 2}
-    for name, df, after, p in (("rows", rep.rows, "runid", places), ("flagstats", rep.flagstats, "ref", None), ("runids", rep.run_ids, "runid", None), ("basecallers", rep.basecallers, "basecaller", None), ("histograms", rep.histograms, "metric", None), ("polya", rep.poly_a, "lower", None)):
+    for name, df, after, p in (("rows", rep.rows, "runid", places), ("flagstats", rep.flagstats, "ref", None), ("runids", rep.run_ids, "runid", None), ("basecallers", rep.basecallers, "basecaller", None), ("polya", rep.poly_a, "lower", None)):
         sinks.write_table(df, f"{a.output}/{name}", sample=a.sample, after=after, places=p)
+    sinks.write_histograms(rep.histograms, f"{a.output}/histograms", {"length": 0, **WIDTHS})
+    if rep.unmapped_histograms is not None:
+        sinks.write_histograms(rep.unmapped_histograms, f"{a.output}/histograms_unmapped", {"length": 0, "quality": WIDTHS["quality"]})
     if a.bed or a.segments:
-        _coverage(records, refs, a, f"{a.output}/coverage", by_strand=True)
+        _coverage(rep.records, refs, a, f"{a.output}/coverage", by_strand=True)
 
 
 def _coverage(records, refs, a, path: str, *, by_strand: bool) -> None:

@@ -7,16 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+SLICE, MOST_SLICES = 4096, 100_000  # rows of a slice, as far as the order column is even; slices of one group at most
 
 
-def numbered(df: DataFrame, order: str, *by: str, slice_width: int = SLICES) -> DataFrame:
+def numbered(df: DataFrame, order: str, *by: str) -> DataFrame:
     """df with `ordinal` from 0 by a whole-number order column (distinct within `by`).
 
-    Rows are counted by slices of the order column, slices summed up, and rows numbered within their slice,
-    so no task sorts a whole group.
+    The order column is cut into slices as wide as its range and the number of rows ask for, so sparse numbers
+    (places in a file) make no more slices than dense ones. Rows are counted by slice, slices summed up, and rows
+    numbered within their slice, so no task sorts a whole group and the sum runs over at most MOST_SLICES rows.
     """
-    df = df.withColumn("_slice", F.floor(F.col(order) / slice_width))
+    r = df.agg(F.min(order).alias("low"), F.max(order).alias("high"), F.count("*").alias("n")).first()
+    slices = max(1, min(MOST_SLICES, r["n"] // SLICE))
+    low, width = (r["low"] or 0), max(1, -(-((r["high"] or 0) - (r["low"] or 0) + 1) // slices))
+    df = df.withColumn("_slice", F.floor((F.col(order) - low) / width))
     parts = df.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
     along = Window.partitionBy(*by).orderBy("_slice") if by else Window.orderBy("_slice")
     parts = parts.withColumn("_before", F.sum("_n").over(along) - F.col("_n")).drop("_n")

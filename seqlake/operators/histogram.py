@@ -45,3 +45,15 @@ def metric_set(df: DataFrame, metrics: dict[str, tuple[str, float]], *by: str) -
     """(by, metric, bin, count) of several metrics in one scan and one shuffle: {name: (column, width)}, width 0 for lengths."""
     cells = [F.struct(F.lit(m).alias("metric"), (F.least(F.col(c).cast("long"), F.lit(LENGTH_TOP)).cast("int") if not w else bin_index(F.col(c), w)).alias("bin")) for m, (c, w) in metrics.items()]
     return df.select(*by, F.explode(F.array(*cells)).alias("c")).filter("c.bin is not null").groupBy(*by, "c.metric", "c.bin").agg(F.count("*").alias("count"))
+
+
+def edges(bins: DataFrame, metrics: dict[str, float]) -> DataFrame:
+    """(by, metric, lower, upper, count) of metric_set's bins, ordered as they are written; {name: width}, width 0 for lengths."""
+    low = high = None
+    for name, width in metrics.items():
+        here = F.col("metric") == name
+        a = F.col("bin").cast("double") if not width else bin_edge(F.col("bin"), width)
+        b = F.when(F.col("bin") < LENGTH_TOP, F.col("bin") + 1).otherwise(0).cast("double") if not width else bin_edge(F.col("bin") + 1, width)
+        low, high = (F.when(here, a), F.when(here, b)) if low is None else (low.when(here, a), high.when(here, b))
+    by = [c for c in bins.columns if c not in ("metric", "bin", "count")]
+    return bins.select(*by, "metric", low.alias("lower"), high.alias("upper"), "count").orderBy(*by, "metric", "lower")

@@ -54,28 +54,43 @@ class Alignments:
     histograms: DataFrame
     poly_a: DataFrame
     depth: DataFrame
+    unmapped_histograms: DataFrame | None = None
+    records: DataFrame | None = None
 
 
-def alignments_report(records: DataFrame, refs: DataFrame, *, unmapped: bool = False, recalculate_quality: bool = False, strict: bool = False, read_group: str | None = None, haplotype: int | None = None, poly_a_reverse: bool = False, tag: tuple[str, int] | None = None, regions: DataFrame | None = None) -> Alignments:
-    """records: from read_sam or read_bam. refs: tid, name, length.
+def selected(records: DataFrame, *, read_group: str | None = None, haplotype: int | None = None, tag: tuple[str, int] | None = None, regions: DataFrame | None = None) -> DataFrame:
+    """The records that every output of an alignment report sees, coverage among them.
 
     regions (chr, start, end): only records that overlap one; a record counts once for each region that it overlaps.
     """
     from ..operators.regions import overlap_join
-    from ..sources.sam import scalar_tags
 
-    df = scalar_tags(records)
+    df = records
     if regions is not None:
         own = regions.select(F.col("chr").alias("ref"), F.col("start").alias("r_start"), F.col("end").alias("r_end"))
         placed = df.withColumns({"start": F.col("pos"), "end": F.col("pos") + F.greatest(op_total(F.col("cigar"), "MDN=X"), F.lit(1))})
         df = overlap_join(placed.filter(F.col("ref") != "*"), own, key="ref").drop("start", "end", "r_start", "r_end")
-    depth_rows = filtering.covering(df)
     if read_group is not None:
         df = filtering.by_read_group(df, read_group)
     tag = ("HP", haplotype) if haplotype is not None else tag
     if tag is not None:
         found = F.coalesce(F.col("tags")[tag[0].upper()], F.col("tags")[tag[0].lower()])
         df = df.filter(found["type"].isin(*"cCsSiI") & (found["value"].try_cast("long") == tag[1]))
+    return df
+
+
+def unmapped_histograms(df: DataFrame) -> DataFrame:
+    """(metric, bin, count) of lengths and qualities of unmapped reads."""
+    metrics = {"length": ("read_length", 0), "quality": ("mean_quality", histogram.WIDTHS["quality"])}
+    return histogram.metric_set(df.filter(F.col("flag").bitwiseAND(F.lit(4)) != 0), metrics)
+
+
+def alignments_report(records: DataFrame, refs: DataFrame, *, unmapped: bool = False, recalculate_quality: bool = False, strict: bool = False, read_group: str | None = None, haplotype: int | None = None, poly_a_reverse: bool = False, tag: tuple[str, int] | None = None, regions: DataFrame | None = None) -> Alignments:
+    """records: from read_sam or read_bam. refs: tid, name, length. The rest as for selected()."""
+    from ..sources.sam import scalar_tags
+
+    df = selected(scalar_tags(records), read_group=read_group, haplotype=haplotype, tag=tag, regions=regions)
+    chosen, depth_rows = df, filtering.covering(df)
     own = mean_quality_of(F.col("qual"))
     # the quality tag is not used for unmapped reads
     quality = own if recalculate_quality else F.coalesce(F.when(F.col("flag").bitwiseAND(F.lit(4)) == 0, F.col("qs")), own)
@@ -89,4 +104,5 @@ def alignments_report(records: DataFrame, refs: DataFrame, *, unmapped: bool = F
     return Alignments(
         rows, alignments.flagstats(df, refs, unmapped=unmapped), summary.counts_by(df, "runid"), summary.counts_by(df, "basecaller"),
         histogram.metric_set(good, metrics), histogram.lengths(filtering.poly_a(tails, reverse=poly_a_reverse), "pt"), coverage.depth(ends, strand="strand"),
+        unmapped_histograms(df) if unmapped else None, chosen,
     )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import fnmatch
 import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 FASTQ_SUFFIXES = (".fastq", ".fq", ".fastq.gz", ".fq.gz")
@@ -13,10 +16,27 @@ def _remote(path: str) -> bool:
     return "://" in path and not path.startswith("file://")
 
 
+def is_local(path: str) -> bool:
+    return not _remote(path)
+
+
 def local(path: str) -> str:
     return path.removeprefix("file://")
 
 
+def scratch(spark) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; in local mode one of our own where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        own = tempfile.mkdtemp(prefix="seqlake-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        found = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def open_binary(path: str, mode: str = "rb"):
     if not _remote(path):
         return open(local(path), mode)  # noqa: SIM115

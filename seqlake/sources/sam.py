@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from .files import found, open_binary
+from .chunk_index import read_index
+from .files import found, is_local, local, open_binary
 
 COLUMNS = "qname string, flag int, ref string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual array<int>, tags map<string,struct<type:string,value:string>>"
 SCHEMA = f"file_path string, voffset long, {COLUMNS}"
@@ -190,7 +191,6 @@ class BamReader(DataSourceReader):
     def partitions(self):
         if not self.index:
             return [BamPartition(p, None, None) for p in found([self.path], (".bam",))]
-        from .chunk_index import read_index
 
         size, recs = read_index(self.index)
         some = range(len(recs)) if self.chunk is None else [int(self.chunk)]
@@ -257,8 +257,8 @@ class BamWriter(DataSourceWriter):
         import os
 
         self.path, self.header = options["path"], options.get("header", "@HD\tVN:1.6\tSO:unsorted\n")
-        if "://" not in self.path:
-            os.makedirs(self.path, exist_ok=overwrite)
+        if is_local(self.path):
+            os.makedirs(local(self.path), exist_ok=overwrite)
 
     def write(self, iterator):
         from pyspark import TaskContext

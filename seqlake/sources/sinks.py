@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import c_format
+from ..functions.numeric import c_format, decimals
 
 
 def fastq_record(name: Column, comment: Column, seq: Column, qual: Column, *, separator: str = " ") -> Column:
@@ -50,6 +50,17 @@ def write_table(df: DataFrame, path: str, *, sample: str | None = None, after: s
     df.write.mode(mode).option("sep", "\t").option("header", True).option("nullValue", "nan").option("emptyValue", "").option("quote", "\u0000").csv(path)
 
 
+def write_histograms(bins: DataFrame, path: str, metrics: dict[str, float], *, mode: str = "errorifexists") -> None:
+    """Tab-separated lower, upper and count without a header, a folder for each metric (and column before it), in order of lower."""
+    from ..operators.histogram import edges
+
+    whole = lambda c, width: F.col(c).cast("long").cast("string") if not width else F.format_string(f"%.{decimals(width)}f", F.col(c))
+    text = lambda c: F.coalesce(*(F.when(F.col("metric") == m, whole(c, w)) for m, w in metrics.items()))
+    rows = edges(bins, metrics)
+    by = rows.columns[:-3]
+    rows.repartition(*by).sortWithinPartitions(*by, "lower").select(*by, F.concat_ws("\t", text("lower"), text("upper"), F.col("count").cast("string")).alias("value")).write.mode(mode).partitionBy(*by).text(path)
+
+
 def printed(value: Column, places: int) -> Column:
     @F.pandas_udf("string")
     def text(v: pd.Series) -> pd.Series:

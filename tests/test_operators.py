@@ -119,7 +119,7 @@ def test_chunks_partition_rows(spark):
     assert [r.qname for r in index] == [f"q{70 * k}" for k in range(15)]
     assert [r.at for r in chunks.chunk(df, "at", 14, every=10).orderBy("at").collect()] == [980, 987, 994]
     assert chunks.chunk(df, "at", 99, every=10).count() == 0
-    n = chunks.numbered(df, "at", slice_width=13).orderBy("at").collect()
+    n = chunks.numbered(df, "at").orderBy("at").collect()
     assert [r.ordinal for r in n] == list(range(len(n)))
 
 
