@@ -53,7 +53,7 @@ def _gram_counter(batches):
     import numpy as np
     import pyarrow as pa
 
-    code, total, short = letter_codes(), np.zeros(DEEP, "i8"), []
+    code, total, some, held = letter_codes(), np.zeros(DEEP, "i8"), [], 0
     for b in batches:
         for text in b.column(0).to_pylist():
             if not text:
@@ -68,13 +68,14 @@ def _gram_counter(batches):
                 keep[1:] = (c[1:] != BOUND) | (c[:-1] != BOUND)  # edges in a row are one
                 c = c[keep]
                 g = ((c[:-3] * BASE + c[1:-2]) * BASE + c[2:-1]) * BASE + c[3:]
-                total += np.bincount(g, minlength=DEEP) if len(text) > 20_000 else 0
-                if len(text) <= 20_000:
-                    short.append(g)
+                held += len(g)
+                some.append(g)
                 tail = c[-3:]
-        if short:
-            total += np.bincount(np.concatenate(short), minlength=DEEP)
-            short.clear()
+                if held > 1_000_000:  # counted together, as a count has the model's size
+                    total += np.bincount(np.concatenate(some), minlength=DEEP)
+                    some, held = [], 0
+    if some:
+        total += np.bincount(np.concatenate(some), minlength=DEEP)
     seen = np.nonzero(total)[0]
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["g", "n"])
 
