@@ -36,6 +36,13 @@ def written(df: DataFrame, name: str, *, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 500) -> None:
+    """From here on the session hands Python at most `most` rows at once: whole texts of thousands of rows, on both sides, would fill an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def text_key(text: Column) -> Column:
     """128 bits of a text, the same in every run and retry; null and empty texts differ."""
     return F.md5(F.coalesce(F.concat(F.lit("t"), text), F.lit("")))

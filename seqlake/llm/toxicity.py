@@ -23,7 +23,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_key, written
+from .common import small_batches, table, text_key, written
 
 #: What signs may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t"}
@@ -222,7 +222,9 @@ def _feature_lists(model, among=None):
     return run
 
 
-def _scorer(model, learnt, name="score"):
+def _scorer(model, learnt, name="score", text="_text", spare=True):
+    """Batches with a score; the column of texts goes if it is there for the score alone (spare)."""
+
     def run(batches):
         import pyarrow as pa
 
@@ -251,7 +253,8 @@ def _scorer(model, learnt, name="score"):
             return 1 - miss
 
         for b in batches:
-            yield b.drop_columns(["_text"]).append_column(name, pa.array([score(t) for t in b.column("_text").to_pylist()], pa.float64()))
+            made = pa.array([score(t) for t in b.column(text).to_pylist()], pa.float64())
+            yield (b.drop_columns([text]) if spare else b).append_column(name, made)
 
     return run
 
@@ -297,6 +300,7 @@ def learn(labelled: DataFrame, model, *, min_texts: int = MIN_TEXTS, min_precisi
 def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "doc_id", text: str = "text", mark: str = "toxic", id_col: str = "doc_id", carry: list[str] | None = None, name: str = "score", most_rows: int = TRAIN_ROWS) -> DataFrame:
     """docs (or their columns `carry`) with a score (0 to 1), in place of a column of that name. keep: over labels, the rows that may be learnt from."""
     spark = docs.sparkSession
+    small_batches(spark)
     model = spark.sparkContext.broadcast(character_model(docs, text))
     marks = labels.filter(keep & F.col(id_col).isNotNull() & F.col(mark).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(mark).cast("int")).alias("y"))
     marks = written(marks, "marks")
@@ -306,7 +310,11 @@ def scored(docs: DataFrame, labels: DataFrame, *, keep: Column, doc_id: str = "d
     rows = own.join(F.broadcast(marks), "_id").groupBy(text_key(F.col("text")).alias("key")).agg(F.first("text").alias("text"), F.max("y").alias("y"))
     rows = written(rows, "labelled")
     learnt = learn(rows, model)
-    out = docs.select(*(c for c in carry or docs.columns if c != name), F.col(text).alias("_text"))
+    kept = [c for c in carry or docs.columns if c != name]
+    if text in kept:
+        out = docs.select(*kept)
+        return out.mapInArrow(_scorer(model, learnt, name, text, False), out.withColumn(name, F.lit(0.0)).schema)
+    out = docs.select(*kept, F.col(text).alias("_text"))
     return out.mapInArrow(_scorer(model, learnt, name), out.drop("_text").withColumn(name, F.lit(0.0)).schema)
 
 
