@@ -27,7 +27,8 @@ from .common import small_batches, table, text_key, written
 
 #: What signs may stand for.
 SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "€": "e", "+": "t"}
-MOST_SPAN = 60  # a longer disguise is not remembered
+MOST_SPAN = 60  # a longer disguise or word is not remembered
+REMEMBERED = 100_000  # disguises or words that a task remembers at once
 TRAIN_ROWS = 20_000  # bound of the labelled sample that features are learnt from
 SINGLE = -2.5  # log-probability that a doubled letter stands for one
 MIN_TEXTS = 3  # texts that a feature must newly explain
@@ -102,13 +103,13 @@ _SIGN, _LETTER = r"[0134578@$!|€+9]", r"[^\W\d_]"
 SPACED = rf"(?<![^\W_])(?:[^\W_]|[@$!|€+])(?:[ .\-_*](?:[^\W_]|[@$!|€+])){{2,}}(?![^\W_])"
 MIXED = rf"(?<![^\W_]){_SIGN}*{_LETTER}+(?:{_SIGN}+{_LETTER}+)+[0134578@$]*|(?<![^\W_]){_SIGN}+{_LETTER}+[0134578@$]*|(?<![^\W_]){_LETTER}+[0134578@$]+(?![\w@$])"
 LONG = r"[^\W_]*([^\W\d_])\1[^\W_]*"
-DISGUISED = re.compile(f"{SPACED}|{MIXED}|{LONG}")
+DISGUISED, ACROSS = re.compile(f"{SPACED}|{MIXED}|{LONG}"), re.compile(SPACED)
 HINT = re.compile(r"[0134578@$!|€+9][^\W\d_]|[^\W\d_][0134578@$]|(?<![^\W_])[^\W_][ .\-_*][^\W_][ .\-_*][^\W_](?![^\W_])|([^\W\d_])\1")
 
 
 class Restorer:
     def __init__(self, model):
-        self.model, self.codes, self.known = model.tolist(), letter_codes().tolist(), {}
+        self.model, self.codes, self.known, self.words = model.tolist(), letter_codes().tolist(), {}, {}
 
     def code(self, c: str) -> int:
         return self.codes[ord(c)] if ord(c) < 0x250 else 26
@@ -172,7 +173,7 @@ class Restorer:
         span = m.group(0)
         got = self.known.get(span)
         if got is None:
-            if len(self.known) > 200_000:
+            if len(self.known) >= REMEMBERED:
                 self.known.clear()
             got = self.decode(span)
             if len(span) <= MOST_SPAN:
@@ -182,6 +183,17 @@ class Restorer:
     def restore(self, text: str) -> str:
         return DISGUISED.sub(self.one, text) if HINT.search(text) else text
 
+    def read(self, word: str) -> list[str]:
+        """Words of a restored word without white space."""
+        got = self.words.get(word)
+        if got is None:
+            got = WORD.findall(self.restore(word).lower())
+            if len(word) <= MOST_SPAN:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = got
+        return got
+
 
 # --- features ------------------------------------------------------------------------------------
 
@@ -194,12 +206,20 @@ def word_features(word: str) -> list[str]:
 
 
 def words_of(text: str | None, restorer: Restorer) -> set[str]:
-    """Distinct words of the restored text, besides those of the text as it is."""
+    """Distinct words of the restored text, besides those of the text as it is.
+
+    Only spaced-out letters reach over white space; a text without them is restored a word at a time.
+    """
     if not text:
         return set()
-    own = set(WORD.findall(text.lower()))
-    new = restorer.restore(text)
-    return own if new is text else own | set(WORD.findall(new.lower()))
+    words = set(WORD.findall(text.lower()))
+    if ACROSS.search(text):
+        new = restorer.restore(text)
+        return words if new is text else words | set(WORD.findall(new.lower()))
+    for word in set(text.split()):
+        if HINT.search(word):
+            words.update(restorer.read(word))
+    return words
 
 
 def _feature_lists(model, among=None):
@@ -209,6 +229,7 @@ def _feature_lists(model, among=None):
         import pyarrow as pa
 
         restorer, few = Restorer(model.value), among.value if among else None
+
         def of(text):
             found = {f for w in words_of(text, restorer) for f in word_features(w)}
             return sorted(found if few is None else found & few)
@@ -236,19 +257,16 @@ def _scorer(model, learnt, name="score", text="_text", spare=True):
         restorer, names = Restorer(model.value), frozenset(whole)
 
         def score(text):
-            words, found = words_of(text, restorer), {}
-            for w in words & names:
-                found[w] = whole[w]
+            words = words_of(text, restorer)
+            found = [whole[w] for w in words & names]
             for n, d in heads.items():
-                for w in {w[:n] for w in words if len(w) > n} & d.keys():
-                    found[f"{w}-"] = d[w]
+                found += [d[w] for w in {w[:n] for w in words if len(w) > n} & d.keys()]
             for n, d in tails.items():
-                for w in {w[-n:] for w in words if len(w) > n} & d.keys():
-                    found[f"-{w}"] = d[w]
+                found += [d[w] for w in {w[-n:] for w in words if len(w) > n} & d.keys()]
             if not found:
                 return base
             miss = 1.0
-            for p in sorted(found.values()):
+            for p in sorted(found):
                 miss *= 1 - p
             return 1 - miss
 
