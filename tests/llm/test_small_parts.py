@@ -209,6 +209,17 @@ def test_restoring_long_spans_and_doubled_letters():
     assert len(r.restore("s t u p i d " * 2000 + "x").split()) >= 2000
 
 
+def test_reading_by_word_equals_reading_whole_texts():
+    import random
+
+    r, rng = X.Restorer(lm(["idiot", "loser", "as", "sea", "bass"] * 20)), random.Random(5)
+    texts = ["i d i o t @ b c $a b c", "a1b2ccd 1d10t", "x" * 70 + " " + "ab" * 50 + "0a"]
+    texts += ["".join(rng.choice("ab1@$ .-_*sS eé\t2") for _ in range(rng.randint(1, 24))) for _ in range(3000)]
+    for t in texts:
+        assert X.words_of(t, r) == {*X.WORD.findall(t.lower()), *X.WORD.findall(r.restore(t).lower())}
+    assert X.words_of(None, r) == X.words_of("", r) == set()
+
+
 def test_viterbi_is_exact():
     import itertools
 
