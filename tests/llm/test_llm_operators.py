@@ -5,6 +5,7 @@ import random
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,46 @@ def test_near_copies_at_the_threshold_and_in_order_only(spark):
     assert all(of[2000 + 2 * g] == of[2001 + 2 * g] == 2000 + 2 * g for g in range(150))
 
 
+def test_every_alike_pair_of_a_bucket_is_linked(spark):
+    """A family with common text, each text with a copy at the threshold: whichever share a signature are compared."""
+    r, rows = random.Random(5), []
+    common = prose(140, 2)
+    for g in range(150):
+        text = f"{common} {prose(60, 7000 + g)}".split()
+        other = list(text)
+        for at in r.sample(range(200), 38):
+            other[at] = f"new{r.random()}"
+        rows += [(2 * g, " ".join(text)), (2 * g + 1, " ".join(other))]
+    rows += [(1000, "Few Words"), (1001, "few  words"), (1002, "few other words")]
+    met = []
+    for _, t in rows:
+        _, w = minhash.word_codes(pa.array([t]))
+        met.append(set(minhash.order_minhash(minhash.labelled(minhash.shingles(w, minhash.K)), minhash.SKETCHES, minhash.LEAST).tolist()))
+    of = {x.doc_id: x.class_id for x in minhash.with_classes(frame(spark, rows)).collect()}
+    want = [2 * g for g in range(150) if met[2 * g] & met[2 * g + 1]]
+    assert len(want) > 100
+    assert [g for g in want if of[g] != of[g + 1]] == []
+    assert of[1000] == of[1001] != of[1002]
+
+
+def test_seldom_pieces_miss_no_alike_pair(spark):
+    r, rows = random.Random(6), []
+    base = prose(60, 3).split()
+    for i in range(700):  # more than one block
+        own = list(base[: r.choice([1, 4, 30, 60, 60])])
+        for _ in range(r.randrange(1 + len(own) // 4)):
+            at = r.randrange(len(own))
+            own[at : at + r.randrange(3)] = [f"w{r.randrange(30)}"] * r.randrange(1, 3)
+        rows.append((i, i, " ".join(own)))
+    texts = spark.createDataFrame(rows, "nid long, label long, text string")
+    got = minhash.pairs_of_seldom_pieces(texts, 0.8).collect()
+    assert len({(x.a, x.b) for x in got}) == len(got)
+    some = r.sample(list(itertools.combinations(range(700), 2)), 1500)
+    found = {(x.a, x.b) for x in got}
+    want = [(a, b) for a, b in some if similar(rows[a][2], rows[b][2])]
+    assert len(want) > 50 and not [p for p in want if p not in found]
+
+
 def test_benchmark_passages(spark):
     items = [(1, prose(30, 901)), (2, prose(20, 902)), (3, "just four words here"), (4, None), (5, "")]
     words = items[0][1].split()
