@@ -426,6 +426,15 @@ def test_licence_training_like_plain_gradient_descent(spark):
     assert max(np.abs(np.array(got[g]) - w[k]).max() for g, k in vocab.items()) < 1e-9
 
 
+def test_licence_model_and_threshold_take_all_paragraphs(spark, monkeypatch):
+    rows = [(i, f"the binary source copyright word{i}") for i in range(2600)]
+    seen, train = [], licences.train
+    monkeypatch.setattr(licences, "train", lambda spark, unknown, **how: (seen.append(unknown.count()), train(spark, unknown, **how))[1])
+    got = licences.licence_paragraphs(frame(spark, rows), steps=1)
+    assert {x.family for x in got.select("family").distinct().collect()} == {"unknown"}
+    assert 1150 < seen[0] < 1450  # half of all; the others set the threshold
+
+
 def brute_templates(rows, min_docs=4):
     """Masked lines to drop, from the definition: lines of a leaf, the places that each choice of blocks leaves open."""
     leaves = {}
