@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import duckdb
 import pyarrow as pa
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlake.llm import decontaminate, licences, line_templates, minhash, mixing, queries, sanitise, token_store, topk, toxicity, url_filter
+from seqlake.llm.common import components
 
 ODD = [(None, "null id"), (7, None), (8, ""), (9, " \n "), (10, "twice here"), (10, "twice here"), (11, "x" * 30_000), (12, "word " * 3000)]
 SCHEMA = "doc_id long, text string, key string, label string, n int, h long, line string, items string, score string, rate string"
@@ -202,6 +204,38 @@ def test_seldom_pieces_miss_no_alike_pair(spark):
     assert len(want) > 50 and not [p for p in want if p not in found]
 
 
+def test_near_copies_ask_few_pairs(spark, monkeypatch):
+    """Texts with a common passage share many buckets with many representatives: each text asks one of them, however many it meets."""
+    common, asked = prose(60, 2), []
+    rows = [(g, f"{common} {prose(60, 8000 + g)}") for g in range(200)]
+    rows += [(1000 + g, rows[g][1] + " and more") for g in range(200)]
+    plausible = minhash.plausible
+    monkeypatch.setattr(minhash, "plausible", lambda pairs, *rest: asked.append(pairs.count()) or plausible(pairs, *rest))
+    of = {x.doc_id: x.class_id for x in minhash.with_classes(frame(spark, rows)).collect()}
+    assert all(of[g] == of[1000 + g] == g for g in range(200))
+    assert sum(asked) <= len(rows)
+
+
+def test_seldom_pieces_make_rows_of_likely_pairs_only(spark):
+    """Long texts of few words: what counts of words in few bins let through is made only if the words themselves do."""
+    r = random.Random(8)
+    some, weights = [f"w{i}" for i in range(600)], [1 / (i + 10) for i in range(600)]
+    common = r.choices(some, weights, k=560)
+    texts = [[*common, *r.choices(some, weights, k=240)] for _ in range(120)]
+    got = minhash.pairs_of_seldom_pieces(spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "nid long, label long, text string"), 0.8).count()
+    counts = [Counter(t) for t in texts]
+    may = sum((counts[a] - counts[b]).total() <= 160 for a, b in itertools.combinations(range(120), 2))
+    assert may <= got <= 1.3 * may + 20
+
+
+def test_components_on_the_driver_and_by_rounds(spark):
+    r = random.Random(9)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(190)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
+    df = spark.createDataFrame([e for e in edges if e[0] != e[1]], "a long, b long")
+    here, there = (dict(map(tuple, components(df, most_local=n).collect())) for n in (10**6, 0))
+    assert here == there and here[1040] == 1000
+
+
 def test_benchmark_passages(spark):
     items = [(1, prose(30, 901)), (2, prose(20, 902)), (3, "just four words here"), (4, None), (5, "")]
     words = items[0][1].split()
