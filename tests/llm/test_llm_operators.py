@@ -228,6 +228,36 @@ def test_seldom_pieces_make_rows_of_likely_pairs_only(spark):
     assert may <= got <= 1.3 * may + 20
 
 
+def test_large_class_is_not_laid_beside_others_piece_by_piece(spark, monkeypatch):
+    """A class of near copies shares many pieces with a few texts of other classes: its texts move once, not once a piece."""
+    r, rows = random.Random(11), []
+    base = prose(60, 12).split()
+    for i in range(660):
+        own = list(base)
+        for _ in range(r.randrange(12) if i < 600 else 14):
+            own[r.randrange(60)] = f"new{r.random()}"
+        rows.append((i, 0 if i < 400 else 1 if i < 600 else i, " ".join(own)))
+    texts = spark.createDataFrame(rows, "nid long, label long, text string")
+    got = [(x.a, x.b) for x in minhash.pairs_of_seldom_pieces(texts, 0.8).collect()]
+    assert len(set(got)) == len(got)
+    others = [(i, j) for i, j in itertools.combinations(range(660), 2) if rows[i][1] != rows[j][1]]
+    some = r.sample([p for p in others if p[1] < 600], 700) + r.sample([p for p in others if p[1] >= 600], 700)
+    want = [(a, b) for a, b in some if similar(rows[a][2], rows[b][2])]
+    assert len(want) > 50 and not [p for p in want if p not in set(got)]
+
+    def moved(similarity):
+        def run(batches):
+            for b in batches:
+                n = [sum(len(b.column(c)[i]) for c in ("xs", "ys")) for i in range(b.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())] * 3, ["a", "b", "c"])
+
+        return run
+
+    monkeypatch.setattr(minhash, "_beside", moved)
+    few = texts.filter("label <> 1 and nid < 610")
+    assert sum(x.a for x in minhash.pairs_of_seldom_pieces(few, 0.8).collect()) <= 2 * few.count()
+
+
 def test_components_on_the_driver_and_by_rounds(spark):
     r = random.Random(9)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(190)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
