@@ -68,14 +68,19 @@ def unaligned_bam(spark, d):
 # --- alignments --------------------------------------------------------------------------------------
 
 
-def placed(spark, d):
+def placed(spark, d, rows=None):
     """aln() with the columns of an alignment file."""
-    return aln(spark, d).select(
+    return aln(spark, d, rows).select(
         F.col("name").alias("qname"), "flag", "ref", "pos", (F.col("l_linenumber") * 10).cast("int").alias("mapq"), "cigar", F.lit("*").alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"),
         F.lit("ACGT").alias("seq"), F.array(*(F.lit(30),) * 4).alias("qual"), F.create_map(F.lit("NM"), F.struct(F.lit("i").alias("type"), F.col("nm").cast("string").alias("value"))).alias("tags"), "l_orderkey", "l_linenumber",
     )
 
 
+def _records(df):
+    """Rows for sam.write_bam."""
+    return df.drop("l_orderkey", "l_linenumber").select(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("voffset"), "*")
+
+
 CIGAR_SQL = "a || 'S' || (m - m // 2) || 'M' || CASE WHEN i > 0 THEN i || 'I' ELSE '' END || (m // 2) || 'M' || CASE WHEN de > 0 THEN de || 'D' ELSE '' END || CASE WHEN b > 0 THEN b || 'S' ELSE '' END"
 HEADER = "@HD\tVN:1.6\tSO:unsorted\n@SQ\tSN:A\tLN:3000\n@SQ\tSN:N\tLN:2800\n@SQ\tSN:R\tLN:2600\n"
 
@@ -83,8 +88,9 @@ HEADER = "@HD\tVN:1.6\tSO:unsorted\n@SQ\tSN:A\tLN:3000\n@SQ\tSN:N\tLN:2800\n@SQ\
 @query(f"WITH {ALN_SQL} SELECT name AS qname, flag, ref, pos, CAST(a * 10 AS INTEGER) AS mapq, {CIGAR_SQL} AS cigar, CAST(nm AS VARCHAR) AS nm, 'ACGT' AS seq, 120 AS qual_sum FROM aln")
 def bam_round_trip(spark, d):
     path = _folder(spark, "bam")
-    sam.write_bam(placed(spark, d).drop("l_orderkey", "l_linenumber").select(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("voffset"), "*"), path, header=HEADER)
-    return _read_columns(sam.read_bam(spark, path))
+    sam.write_bam(_records(placed(spark, d)), path, header=HEADER)
+    columns = "qname string, flag int, ref string, pos long, mapq int, cigar string, seq string, qual array<int>, tags map<string,struct<type:string,value:string>>"
+    return _read_columns(sam.read_bam(spark, path, columns=columns))
 
 
 @query(Q.SQL["bam_round_trip"])
@@ -103,17 +109,25 @@ def _read_columns(df):
 @query("SELECT CAST(rn // 500 AS BIGINT) AS chunk_id, name AS qname, CAST(least(500, n - rn) AS BIGINT) AS n_records FROM (SELECT l_orderkey || '.' || l_linenumber AS name, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS rn, count(*) OVER () AS n FROM lineitem) WHERE rn % 500 = 0")
 def bam_chunk_index(spark, d):
     """A BAM file in one piece, its index written and read, and every chunk read through the index."""
-    path, index = _folder(spark, "bam"), _folder(spark, "index")
-    one = placed(spark, d).coalesce(1).sortWithinPartitions("l_orderkey", "l_linenumber").drop("l_orderkey", "l_linenumber")
-    sam.write_bam(one.select(F.lit("").alias("file_path"), F.lit(0).cast("long").alias("voffset"), "*"), path, header=HEADER)
-    bam = f"{path}/part-00000.bam"
-    chunk_index.build_index(bam, index, every=500)
+    path, index = f"{_folder(spark, 'bam')}.bam", _folder(spark, "index")
+    rows = Q.aln_columns(t(spark, d, "lineitem")).repartitionByRange("l_orderkey", "l_linenumber").sortWithinPartitions("l_orderkey", "l_linenumber")
+    starts = sam.write_one_bam(_records(placed(spark, d, rows)), path, header=HEADER)
+    chunk_index.build_index_by_pieces(spark, path, index, starts, every=500)
     _, heads = chunk_index.read_index(index)
-    heads = spark.createDataFrame([(k, at, name) for k, (at, name) in enumerate(heads)], "chunk_id long, voffset long, qname string")
-    got = sam.read_bam(spark, bam, index=index)
-    # A record belongs to the chunk whose head is the last at or before it: chunks are a partition each.
-    got = got.withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(F.min("voffset").alias("voffset"), F.count("*").alias("n_records"))
-    return got.join(heads, "voffset").select("chunk_id", "qname", "n_records")
+    at = [at for at, _ in heads]
+
+    def counted(batches):
+        """Records by chunk: that whose head is the last at or before the record."""
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            chunk, n = np.unique(np.searchsorted(at, b.column(0).to_numpy(), "right") - 1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(n, pa.int64())], ["chunk_id", "n"])
+
+    got = sam.read_bam(spark, path, index=index, columns="voffset long").mapInArrow(counted, "chunk_id long, n long").groupBy("chunk_id").agg(F.sum("n").alias("n_records"))
+    named = spark.createDataFrame([(k, name) for k, (_, name) in enumerate(heads)], "chunk_id long, qname string")
+    return got.join(named, "chunk_id").select("chunk_id", "qname", "n_records")
 
 
 @query(f"""WITH {ALN_SQL}, {REFS_SQL}, x AS (SELECT aln.name, m, i, de, CASE WHEN a % 3 = 1 THEN nm + 400 WHEN a % 3 = 2 THEN nm END AS nm FROM aln JOIN refs ON ref = refs.name WHERE {GOOD_SQL})

@@ -60,6 +60,37 @@ def build_index(bam: str, path: str, *, every: int = 1) -> int:
     return len(recs)
 
 
+def build_index_by_pieces(spark: SparkSession, bam: str, path: str, starts: list[int], *, every: int = 1) -> int:
+    """The same index of a file of whose pieces the first bytes are known (sam.write_one_bam): each is counted, then indexed, in a task of its own."""
+    from .sam import Bgzf, bam_header, raw_records
+
+    def records(start: int, end: int):
+        with open_binary(bam) as raw:
+            if start:
+                f = Bgzf(raw, start << 16)
+            else:
+                bam_header(f := Bgzf(raw))
+            yield from raw_records(f, end=end)
+
+    def counted(piece):
+        k, start, end = piece
+        return k, sum(1 for _ in records(start, end))
+
+    def heads(piece):
+        start, end, before = piece
+        return [(at, raw[32 : 31 + raw[8]].decode()) for n, (at, raw) in enumerate(records(start, end), before) if n % every == 0]
+
+    spans = [(k, a, b) for k, (a, b) in enumerate(zip(starts, [*starts[1:], 1 << 62])) if a < b]
+    sc = spark.sparkContext
+    counts, before, pieces = dict(sc.parallelize(spans, len(spans)).map(counted).collect()), 0, []
+    for k, a, b in spans:
+        pieces.append((a, b, before))
+        before += counts[k]
+    recs = sc.parallelize(pieces, len(pieces)).flatMap(heads).collect()
+    write_index(path, every, recs)
+    return len(recs)
+
+
 def index_frame(spark: SparkSession, path: str) -> DataFrame:
     """(chunk_id, file_offset, qname)."""
     _, recs = read_index(path)

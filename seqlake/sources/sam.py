@@ -1,7 +1,8 @@
 """SAM text and BAM.
 
 read_sam uses the text source and built-in functions, so large files split. BAM is a data source,
-spark.read.format("bam"), one partition a file, or one a chunk if a chunk index is given (option `index`).
+spark.read.format("bam"), one partition a file, or one a run of chunks if a chunk index is given (option `index`): up to
+SPLITS runs or so, so that tasks do not grow with the chunks. Both sides exchange Arrow batches.
 Both have the same columns; pos counts from 0, quality is an array of numbers (255: missing). A BAM record's
 voffset is where it starts: the block's place in the file times 65,536 plus the place in the block.
 """
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from .chunk_index import read_index
 from .files import found, is_local, local, open_binary
@@ -78,6 +79,10 @@ def scalar_tags(df: DataFrame) -> DataFrame:
 
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 BASES, CIGAR_OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
+SPLITS, BATCH = 256, 5000  # partitions of a file that has an index; records of an Arrow batch
+HEAD = struct.Struct("<iiBBHHHiiii")
+HEX_OF_BASE = bytes(b"0123456789abcdef"[max(0, BASES.find(chr(c).upper()))] for c in range(256))
+BASE_OF_HEX = bytes(ord(BASES["0123456789abcdef".index(chr(c))]) if chr(c) in "0123456789abcdef" else c for c in range(256))
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
@@ -157,25 +162,68 @@ def aux_fields(raw: bytes) -> dict[str, tuple[str, str]]:
     return out
 
 
-def bam_records(f: Bgzf, refs: list[tuple[str, int]], most: int | None = None) -> Iterator[tuple]:
-    """Rows without file_path."""
+def raw_records(f: Bgzf, most: int | None = None, end: int | None = None) -> Iterator[tuple[int, bytes]]:
+    """(virtual offset, body) of up to `most` records, of those that start before the file's byte `end`."""
+    most = -1 if most is None else most
+    while most:
+        k, data = f.at, f.data
+        stop = k + 4 + int.from_bytes(data[k : k + 4], "little") if k + 4 <= len(data) else len(data) + 1
+        if stop <= len(data):  # it lies whole in this block
+            if end is not None and f.block >= end:
+                return
+            f.at = stop
+            yield f.block << 16 | k, data[k + 4 : stop]
+        else:
+            at = f.tell()
+            if end is not None and at >> 16 >= end or not (size := f.read(4)):
+                return
+            yield at, f.read(struct.unpack("<i", size)[0])
+        most -= 1
+
+
+def bam_batches(records: Iterator[tuple[int, bytes]], refs: list[tuple[str, int]], path: str, columns: list[str]):
+    """Arrow batches of some of the columns of SCHEMA."""
+    from binascii import hexlify
+    from itertools import islice
+
+    import numpy as np
+    import pyarrow as pa
+
+    tag = pa.struct([("type", pa.string()), ("value", pa.string())])
+    kinds = {"flag": pa.int32(), "mapq": pa.int32(), "voffset": pa.int64(), "pos": pa.int64(), "pnext": pa.int64(), "tlen": pa.int64()}
     name = lambda i: refs[i][0] if i >= 0 else "*"
-    while most is None or most > 0:
-        at = f.tell()
-        size = f.read(4)
-        if not size:
-            return
-        raw = f.read(struct.unpack("<i", size)[0])
-        tid, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mpos, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
-        k = 32 + l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", raw, k)
-        cigar = "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for x in ops) or "*"
-        k += 4 * n_cigar
-        half = (l_seq + 1) // 2
-        seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in raw[k : k + half])[:l_seq]
-        qual = list(raw[k + half : k + half + l_seq])
-        yield at, raw[32 : k - 4 * n_cigar - 1].decode(), flag, name(tid), pos, mapq, cigar, "=" if mate == tid and mate >= 0 else name(mate), mpos, tlen, seq, qual, aux_fields(raw[k + half + l_seq :])
-        most = None if most is None else most - 1
+    cigars: dict[bytes, str] = {}
+
+    def cigar(raw: bytes) -> str:
+        if raw not in cigars:
+            if len(cigars) > 100_000:
+                cigars.clear()
+            cigars[raw] = "".join(f"{x >> 4}{CIGAR_OPS[x & 15]}" for (x,) in struct.iter_unpack("<I", raw)) or "*"
+        return cigars[raw]
+
+    while some := list(islice(records, BATCH)):
+        heads = [HEAD.unpack_from(raw) for _, raw in some]
+        # Where the CIGAR, the bases and the qualities start, and where these end.
+        places = [(c := 32 + h[2], s := c + 4 * h[5], q := s + (h[7] + 1) // 2, q + h[7]) for h in heads]
+        rows = list(zip((raw for _, raw in some), places, heads, strict=True))
+
+        def column(c: str):
+            if c == "qual":
+                found = [raw[p[2] : p[3]] for raw, p, _ in rows]
+                return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.frombuffer(b"".join(found), "u1").astype("i4")))
+            if c == "tags":
+                found = [aux_fields(raw[p[3] :]) for raw, p, _ in rows]
+                flat = [x for f in found for x in f.values()]
+                items = pa.StructArray.from_arrays([pa.array([x[i] for x in flat], pa.string()) for i in (0, 1)], fields=list(tag))
+                return pa.MapArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array([k for f in found for k in f], pa.string()), items)
+            values = {
+                "file_path": lambda: [path] * len(rows), "voffset": lambda: [at for at, _ in some], "qname": lambda: [raw[32 : p[0] - 1].decode() for raw, p, _ in rows], "flag": lambda: [h[6] for h in heads], "ref": lambda: [name(h[0]) for h in heads],
+                "pos": lambda: [h[1] for h in heads], "mapq": lambda: [h[3] for h in heads], "cigar": lambda: [cigar(raw[p[0] : p[1]]) for raw, p, _ in rows], "rnext": lambda: ["=" if h[8] == h[0] and h[8] >= 0 else name(h[8]) for h in heads],
+                "pnext": lambda: [h[9] for h in heads], "tlen": lambda: [h[10] for h in heads], "seq": lambda: [hexlify(raw[p[1] : p[2]]).translate(BASE_OF_HEX)[: h[7]].decode() for raw, p, h in rows],
+            }[c]
+            return pa.array(values(), kinds.get(c, pa.string()))
+
+        yield pa.RecordBatch.from_arrays([column(c) for c in columns], columns)
 
 
 class BamPartition(InputPartition):
@@ -185,16 +233,20 @@ class BamPartition(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.index, self.chunk = options["path"], options.get("index"), options.get("chunk")
+    def __init__(self, options, columns):
+        self.path, self.index, self.chunk, self.columns = options["path"], options.get("index"), options.get("chunk"), columns
 
     def partitions(self):
         if not self.index:
             return [BamPartition(p, None, None) for p in found([self.path], (".bam",))]
 
         size, recs = read_index(self.index)
-        some = range(len(recs)) if self.chunk is None else [int(self.chunk)]
-        return [BamPartition(self.path, recs[i][0], size) for i in some if 0 <= i < len(recs)] or [BamPartition("", None, None)]
+        step = max(1, len(recs) // SPLITS)
+        if self.chunk is None:
+            some = [BamPartition(self.path, recs[i][0], size * step) for i in range(0, len(recs), step)]
+        else:
+            some = [BamPartition(self.path, recs[i][0], size) for i in [int(self.chunk)] if 0 <= i < len(recs)]
+        return some or [BamPartition("", None, None)]
 
     def read(self, partition):
         if not partition.path:
@@ -203,8 +255,7 @@ class BamReader(DataSourceReader):
             _, refs = bam_header(f := Bgzf(raw))
             if partition.voffset is not None:
                 f = Bgzf(raw, partition.voffset)
-            for row in bam_records(f, refs, partition.most):
-                yield (partition.path, *row)
+            yield from bam_batches(raw_records(f, partition.most), refs, partition.path, self.columns)
 
 
 @dataclass
@@ -220,43 +271,75 @@ def bgzf_blocks(data: bytes) -> Iterator[bytes]:
         yield b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(part), len(part))
 
 
-def aux_bytes(tags: dict) -> bytes:
-    out = []
-    for tag, (kind, value) in tags.items():
-        if kind in "cCsSiI":
-            out.append(tag.encode() + b"i" + struct.pack("<i", int(value)))
-        elif kind == "f":
-            out.append(tag.encode() + b"f" + struct.pack("<f", float(value)))
-        elif kind in "ZH":
-            out.append(tag.encode() + kind.encode() + value.encode() + b"\0")
-        elif kind == "A":
-            out.append(tag.encode() + b"A" + value[:1].encode())
-    return b"".join(out)
+def aux_bytes(tag: str, kind: str, value: str) -> bytes:
+    if kind in "cCsSiI":
+        return tag.encode() + b"i" + struct.pack("<i", int(value))
+    if kind == "f":
+        return tag.encode() + b"f" + struct.pack("<f", float(value))
+    if kind in "ZH":
+        return tag.encode() + kind.encode() + value.encode() + b"\0"
+    return tag.encode() + b"A" + value[:1].encode() if kind == "A" else b""
 
 
-def bam_bytes(row, tids: dict[str, int]) -> bytes:
+def bam_bytes(batch, tids: dict[str, int]) -> list[bytes]:
+    """The records of an Arrow batch."""
     import re
-
-    seq, qual = row["seq"] or "", row["qual"] or []
-    cigar = [(int(n) << 4) | CIGAR_OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"] or "")]
-    code = [max(0, BASES.find(c)) for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(code[::2], code[1::2], strict=True))
-    name = row["qname"].encode() + b"\0"
-    ref = tids.get(row["ref"], -1)
-    mate = ref if row["rnext"] == "=" else tids.get(row["rnext"], -1)
+    from binascii import unhexlify
+
+    import numpy as np
+
+    col = lambda c: batch.column(batch.schema.names.index(c))
+    whole = lambda c, none: col(c).fill_null(none).to_numpy(zero_copy_only=False).tolist()
+
+    def of_each(text, make) -> list:
+        """make() of every value, once for each that differs."""
+        coded = text.dictionary_encode(null_encoding="encode")
+        made = [make(x) for x in coded.dictionary.to_pylist()]
+        return [made[i] for i in coded.indices.to_numpy(zero_copy_only=False).tolist()]
+
+    def utf8(text) -> list[bytes]:
+        text = text.fill_null("").cast("large_string")
+        ends = np.frombuffer(text.buffers()[1], "i8")[text.offset : text.offset + len(text) + 1].tolist() if len(text) else [0]
+        held = (text.buffers()[2] or b"") and text.buffers()[2].to_pybytes()
+        return [held[a:b] for a, b in zip(ends, ends[1:])]
+
+    def cigar(text):
+        ops = [(int(n) << 4) | CIGAR_OPS.index(o) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", text or "")]
+        return len(ops), struct.pack(f"<{len(ops)}I", *ops)
+
+    def bases(text):
+        return len(text or ""), unhexlify((text or "").encode("latin-1", "replace").translate(HEX_OF_BASE) + b"0" * (len(text or "") % 2))
+
+    if col("qname").null_count or col("flag").null_count:
+        raise ValueError("a record needs a name and a flag")
+    quals = col("qual")
+    flat = quals.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) and not (flat.min() >= 0 and flat.max() <= 255):
+        raise ValueError("qualities must be in range(0, 256)")
+    flat, ends = flat.astype("u1").tobytes(), np.cumsum(np.append(0, quals.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).tolist()
+    tags = col("tags")
+    kinds = zip(of_each(tags.keys, str), of_each(tags.items.field("type"), str), utf8(tags.items.field("value")), strict=True)
+    aux = [aux_bytes(tag, kind, value.decode()) for tag, kind, value in kinds]
+    tag_ends = tags.offsets.to_numpy().tolist()
     bin_ = 4680  # of unplaced records; placed ones are found by chunk, not by bin
-    head = struct.pack("<iiBBHHHiiii", ref, -1 if row["pos"] is None else row["pos"], len(name), row["mapq"] or 0, bin_, len(cigar), row["flag"], len(seq), mate, -1 if row["pnext"] is None else row["pnext"], row["tlen"] or 0)
-    body = head + name + struct.pack(f"<{len(cigar)}I", *cigar) + packed + bytes(qual) + aux_bytes({k: (v["type"], v["value"]) for k, v in (row["tags"] or {}).items()})
-    return struct.pack("<i", len(body)) + body
+    tid = lambda x: tids.get(x, -1)
+    rows = zip(utf8(col("qname")), whole("flag", 0), of_each(col("ref"), tid), whole("pos", -1), whole("mapq", 0), of_each(col("cigar"), cigar), of_each(col("rnext"), lambda x: None if x == "=" else tid(x)), whole("pnext", -1), whole("tlen", 0), of_each(col("seq"), bases), strict=True)
+    out = []
+    for i, (name, flag, ref, pos, mapq, (n_ops, ops), mate, pnext, tlen, (n_bases, packed)) in enumerate(rows):
+        head = HEAD.pack(ref, pos, len(name) + 1, mapq, bin_, n_ops, flag, n_bases, ref if mate is None else mate, pnext, tlen)
+        body = b"".join([head, name, b"\0", ops, packed, flat[ends[i] : ends[i + 1]], *aux[tag_ends[i] : tag_ends[i + 1]]])
+        out.append(len(body).to_bytes(4, "little") + body)
+    return out
 
 
-class BamWriter(DataSourceWriter):
-    """A BAM file a partition, each with the header (option `header`, SAM text)."""
+class BamWriter(DataSourceArrowWriter):
+    """A BAM file a partition, each with the header (option `header`, SAM text), or (option `pieces`) what one file is joined of."""
 
     def __init__(self, options, overwrite):
         import os
 
         self.path, self.header = options["path"], options.get("header", "@HD\tVN:1.6\tSO:unsorted\n")
+        self.pieces = options.get("pieces") == "true"
         if is_local(self.path):
             os.makedirs(local(self.path), exist_ok=overwrite)
 
@@ -269,16 +352,20 @@ class BamWriter(DataSourceWriter):
         for r in refs:
             data += [struct.pack("<i", len(r["SN"]) + 1), r["SN"].encode() + b"\0", struct.pack("<i", int(r["LN"]))]
         tids = {r["SN"]: i for i, r in enumerate(refs)}
-        path = f"{self.path}/part-{TaskContext.get().partitionId():05d}.bam"
+        at = TaskContext.get().partitionId()
+        path = f"{self.path}/part-{at:05d}.bam"
+        if self.pieces and at:
+            data = []
         with open_binary(path, "wb") as f:
             held = sum(map(len, data))
-            for row in iterator:
-                data.append(bam_bytes(row, tids))
-                held += len(data[-1])
+            for batch in iterator:
+                new = bam_bytes(batch, tids)
+                data += new
+                held += sum(map(len, new))
                 if held > 1 << 20:
                     f.write(b"".join(bgzf_blocks(b"".join(data))))
                     data, held = [], 0
-            f.write(b"".join(bgzf_blocks(b"".join(data))) + EOF_BLOCK)
+            f.write(b"".join(bgzf_blocks(b"".join(data))) + (b"" if self.pieces else EOF_BLOCK))
         return Part(path)
 
 
@@ -291,7 +378,7 @@ class BamSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return BamReader(self.options)
+        return BamReader(self.options, schema.names)
 
     def writer(self, schema, overwrite):
         return BamWriter(self.options, overwrite)
@@ -301,9 +388,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(BamSource)
 
 
-def read_bam(spark: SparkSession, path: str, *, index: str | None = None, chunk: int | None = None) -> DataFrame:
+def read_bam(spark: SparkSession, path: str, *, index: str | None = None, chunk: int | None = None, columns: str | None = None) -> DataFrame:
+    """All columns, or only some, given with their types, which costs less."""
     register(spark)
     r = spark.read.format("bam")
+    r = r.schema(columns) if columns else r
     r = r.option("index", index) if index else r
     r = r.option("chunk", chunk) if chunk is not None else r
     return r.load(path)
@@ -315,6 +404,22 @@ def write_bam(df: DataFrame, path: str, *, header: str | None = None, mode: str
     (w.option("header", header) if header else w).save(path)
 
 
+def write_one_bam(df: DataFrame, path: str, *, header: str) -> list[int]:
+    """One BAM file of the partitions in turn, which are written side by side and then joined; returns the byte at which each starts."""
+    import shutil
+
+    register(df.sparkSession)
+    df.write.format("bam").mode("append").option("header", header).option("pieces", "true").save(f"{path}-pieces")
+    starts = []
+    with open_binary(path, "wb") as out:
+        for piece in found([f"{path}-pieces"], (".bam",)):
+            starts.append(out.tell())
+            with open_binary(piece) as f:
+                shutil.copyfileobj(f, out, 1 << 22)
+        out.write(EOF_BLOCK)
+    return starts
+
+
 def unaligned(reads: DataFrame) -> DataFrame:
     """Rows for write_bam from reads (name, seq, qual, tags as text): flag 4, no place."""
     from .sinks import aux_tags
